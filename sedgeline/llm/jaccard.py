@@ -9,6 +9,7 @@ can't be linked. The join works in regions:
    window. Shingles that are common in some batch come last in the order; that list is bounded and changes the order only,
    never the result. Regions of one document vanish; regions with the same documents are one.
 2. Pivots. In each region one document is the pivot, and the others' distances to it are measured exactly.
+   A sketch of each set (counts by hash bits) bounds the distance from below and spares most of the measuring.
 3. Recursion. A region whose documents are all in one component is done. In the others, the window of the triangle
    inequality and of the sizes leaves the documents that a further pivot can still reach. Small regions take every
    document as a pivot, large ones twice as many in each round, until every region is done: no link is lost.
@@ -41,6 +42,8 @@ SMALL = 48
 COMMON_BATCH, COMMON_TOTAL, COMMON_KEPT = 8, 48, 200_000
 #: Bytes of text for which there is one bucket of seeds, and members for each copy of a pivot.
 BUCKET_BYTES, MIN_BUCKETS, MEMBERS = 2_000_000, 64, 256
+#: Bytes of the smallest sketch, and document ids that may be broadcast (8 bytes each) once they are counted.
+SKETCH_LEAST, BROADCAST_IDS = 64, 500_000
 
 
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -72,6 +75,26 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in (a, b))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of a set's hashes by their last bits, one byte each; about one byte for four shingles."""
+    size = SKETCH_LEAST
+    while size * 8 <= len(s):
+        size *= 2
+    return np.minimum(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def may_link(a: bytes, b: bytes, na: int, nb: int) -> bool:
+    """False only for sets that can't be linked: by their sizes, or as their counts differ by more than linked sets can."""
+    if 100 * min(na, nb) < PERCENT * max(na, nb):
+        return False
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (a, b))
+    if 255 not in a and 255 not in b and len(x) != len(y):
+        x, y = (v.reshape(-1, min(len(x), len(y))).sum(axis=0) for v in (x, y))
+    if len(x) != len(y):  # a full byte can't be added up
+        return True
+    return (100 + PERCENT) * int(np.abs(x - y).sum()) <= (100 - PERCENT) * (na + nb)
+
+
 def linked(inter: int, a: int, b: int) -> bool:
     return 100 * inter >= PERCENT * (a + b - inter) and inter > 0
 
@@ -81,7 +104,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _scan(texts: DataFrame) -> DataFrame:
-    """One pass over the texts. kind 0: a = doc_id, b = set size, c and d = signature. kind 1: a = common shingle, b = documents."""
+    """One pass over the texts. kind 0: a = doc_id, b = set size, c and d = signature, e = sketch. kind 1: a = common shingle, b = documents."""
 
     def run(batches):
         for batch in batches:
@@ -94,6 +117,7 @@ def _scan(texts: DataFrame) -> DataFrame:
                     "b": pa.array([len(s) for s in sets], pa.int64()),
                     "c": pa.array([s[0] for s in sig], pa.int64()),
                     "d": pa.array([s[1] for s in sig], pa.int64()),
+                    "e": pa.array([sketch(s) for s in sets], pa.binary()),
                 }
             )
             once = list({k: s for k, s in zip(sig, sets, strict=True)}.values())
@@ -101,9 +125,9 @@ def _scan(texts: DataFrame) -> DataFrame:
                 token, n = np.unique(np.concatenate(once), return_counts=True)
                 token, n = token[n >= COMMON_BATCH], n[n >= COMMON_BATCH]
                 zero = np.zeros(len(n), np.int64)
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(zero + 1, pa.int8()), "a": token.view(np.int64), "b": n.astype(np.int64), "c": zero, "d": zero})
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(zero + 1, pa.int8()), "a": token.view(np.int64), "b": n.astype(np.int64), "c": zero, "d": zero, "e": pa.nulls(len(n), pa.binary())})
 
-    return texts.mapInArrow(run, "kind tinyint, a long, b long, c long, d long")
+    return texts.mapInArrow(run, "kind tinyint, a long, b long, c long, d long, e binary")
 
 
 def _seeds(texts: DataFrame, common: list[int], buckets: int) -> DataFrame:
@@ -164,8 +188,26 @@ def _regions(table: pa.Table) -> pa.Table:
     return pa.table({"region": region.view(np.int64), "docs": pa.ListArray.from_arrays(pa.array(offsets), pa.array(doc[at], pa.int64()))})
 
 
+def within_reach(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (p, x) that sizes and sketches leave open. sketches: rep, n, e."""
+    name = lambda c: sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("e").alias(f"e{c}"))
+    both = pairs.select("p", "x").join(name("p"), "p").join(name("x"), "x")
+    both = both.where(100 * F.least("np", "nx") >= PERCENT * F.greatest("np", "nx"))
+
+    def run(batches):
+        for b in batches:
+            rows = zip(*(b[c].to_pylist() for c in ("ep", "ex", "np", "nx")), strict=True)
+            keep = pa.array([may_link(*r) for r in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["p"], b["x"]], ["p", "x"]).filter(keep)
+
+    return both.mapInArrow(run, "p long, x long")
+
+
 def measure(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact distances of distinct pairs (p, x): p, x, distance. A pivot of many members is copied, once for MEMBERS of them."""
+    """Exact distances of distinct staged pairs (p, x): p, x, distance. A pivot of many members is copied, once for MEMBERS of them."""
+    ids = stage(pairs.select(F.explode(F.array("p", "x")).alias("doc_id")).distinct(), "jaccard-ids")
+    if ids.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     deg = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("copies"))
     dealt = pairs.join(deg, "p").select("p", F.pmod(F.xxhash64("x"), F.col("copies")).alias("copy"), F.col("x").alias("doc_id"))
     both = dealt.select("p", "copy", "doc_id", F.lit(1).alias("member")).unionByName(dealt.select("p", "copy").distinct().select("p", "copy", F.col("p").alias("doc_id"), F.lit(0).alias("member")))
@@ -239,19 +281,20 @@ def _others(table: pa.Table) -> pa.Table:
     doc, n, comp, d = doc[order], n[order], comp[order], d[order]
     i, j = np.triu_indices(len(doc), 1)
     near = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
-    near &= ~(np.abs(d[i] - d[j]) > RADIUS + 1e-9) & (d[i] > 0) & (d[j] > 0)
+    near &= ~(np.abs(d[i] - d[j]) > RADIUS + 1e-9) & (d[i] != 0) & (d[j] != 0)  # an unknown distance is NaN
     return pa.table({"p": doc[i[near]], "x": doc[j[near]]})
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, classes): nodes has doc_id, n_shingles and rep (the smallest doc_id with the same set), one row a document;
     classes has node (a rep) and component, for reps with links to others."""
     texts = _texts(docs)
     scan = stage(_scan(texts), "jaccard-scan")
-    nodes = scan.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "c", "d")
+    nodes = scan.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "c", "d", "e")
     reps = nodes.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "c", "d").agg(F.min("doc_id").alias("rep"))
-    nodes = nodes.join(reps, ["n_shingles", "c", "d"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    nodes = nodes.join(reps, ["n_shingles", "c", "d"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "e")
     nodes = stage(nodes, "jaccard-nodes")
+    sketches = nodes.where("doc_id = rep").groupBy("rep").agg(F.max("n_shingles").alias("n"), F.first("e").alias("e"))
     found = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= COMMON_TOTAL)
     common = [r["a"] for r in found.orderBy(F.desc("n"), "a").limit(COMMON_KEPT).collect()]
     size = texts.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
@@ -268,11 +311,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     counted = counted.where("m > 1").groupBy("m", "p", "same").agg(F.min("region").alias("region"))
     regions = stage(members.join(counted.select("region", "m", "p"), "region"), "jaccard-regions")
 
-    pairs = stage(regions.where("doc <> p").select("p", F.col("doc").alias("x")).distinct(), "jaccard-pairs")
+    pairs = stage(within_reach(regions.where("doc <> p").select("p", F.col("doc").alias("x")).distinct(), sketches), "jaccard-pairs")
     measured = stage(measure(texts, pairs), "jaccard-distances")
     close = measured.where(F.col("distance") <= RADIUS).select(F.col("p").alias("a"), F.col("x").alias("b"))
-    if not measured.limit(1).count():
-        return nodes, None
     known = _join_classes(close, None)
 
     # recursion: open regions hold several components
@@ -285,14 +326,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         return rows.join(several, "region")
 
     rest = regions.where("m > 2")
-    rest = rest.join(measured.select("p", F.col("x").alias("doc"), "distance"), ["p", "doc"], "left").select("region", "m", "doc", "n", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    rest = rest.join(measured.select("p", F.col("x").alias("doc"), "distance"), ["p", "doc"], "left")
+    # the pivot is at 0; where sizes or sketches already said no, the distance is not known and opens every window
+    rest = rest.select("region", "m", "doc", "n", F.when(F.col("doc") == F.col("p"), 0.0).otherwise(F.col("distance")).alias("distance"))
     opened = stage(still_open(rest), "jaccard-open")
     small = opened.where(F.col("m") <= SMALL).groupBy("region").applyInArrow(_others, "p long, x long")
-    fresh = stage(small.distinct().join(measured, ["p", "x"], "left_anti"), "jaccard-pairs")
+    fresh = stage(within_reach(small.distinct().join(measured, ["p", "x"], "left_anti"), sketches), "jaccard-pairs")
     more = stage(measure(texts, fresh).where(F.col("distance") <= RADIUS).select(F.col("p").alias("a"), F.col("x").alias("b")), "jaccard-links")
     known = _join_classes(more, known)
 
-    large, pivots = stage(opened.where((F.col("m") > SMALL) & (F.col("distance") > 0)).select("region", "doc", "n", "distance"), "jaccard-large"), 8
+    large, pivots = stage(opened.where((F.col("m") > SMALL) & ~F.col("distance").eqNullSafe(0.0)).select("region", "doc", "n", "distance"), "jaccard-large"), 8
     while large.limit(1).count():
         now = stage(still_open(large), "jaccard-large")
         if not now.limit(1).count():
@@ -304,9 +347,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         drawn = now.join(total, "region").join(first, "region").withColumn("is_pivot", (F.col("doc") == F.col("f")) | (draw * F.col("m") < pivots))
         drawn = stage(drawn.drop("f", "m"), "jaccard-drawn")
         q = drawn.where("is_pivot").select("region", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("distance").alias("pd"), F.col("component").alias("pc"))
-        reach = (F.col("component") != F.col("pc")) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")) & (F.abs(F.col("distance") - F.col("pd")) <= RADIUS + 1e-9)
+        reach = (F.col("component") != F.col("pc")) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")) & F.coalesce(F.abs(F.col("distance") - F.col("pd")) <= RADIUS + 1e-9, F.lit(True))
         pairs = drawn.join(q, "region").where(reach).select("p", F.col("doc").alias("x")).distinct()
-        found = stage(measure(texts, stage(pairs, "jaccard-pairs")).where(F.col("distance") <= RADIUS).select(F.col("p").alias("a"), F.col("x").alias("b")), "jaccard-links")
+        found = stage(measure(texts, stage(within_reach(pairs, sketches), "jaccard-pairs")).where(F.col("distance") <= RADIUS).select(F.col("p").alias("a"), F.col("x").alias("b")), "jaccard-links")
         known = _join_classes(found, known)
         large = stage(drawn.where("not is_pivot").select("region", "doc", "n", "distance"), "jaccard-large")
         pivots *= 2
@@ -316,8 +359,6 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id."""
     nodes, known = classes(docs)
-    if known is None:
-        return nodes.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     return nodes.join(known, nodes["rep"] == known["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of text that vectorised code works on at a time.
+SLICE_BYTES = 8_000_000
+
+
+def slices(batch: pa.RecordBatch, column: str = "raw") -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE_BYTES of a binary column, one row at least."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(batch[column]).to_pylist()):
+        if size and size + (n or 0) > SLICE_BYTES:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n or 0
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def map_texts(
     docs: DataFrame, columns: dict[str, str], schema: str, make: Callable[[], Callable[[dict], Iterator[dict] | list[dict]]]
 ) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, slices
 from .wordhash import mixed, sliding_min, windows, words
 
 WINDOW = 35
@@ -89,7 +89,7 @@ def common_minimisers(texts: DataFrame) -> list[int]:
     """Minimisers of very many different strings, from all texts; bounded by COMMON_KEPT."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             r = _Runs(b["raw"].to_pylist())
             order, opens, _ = _groups(r.k1, r.k2)
             low, n = np.unique(r.low[order[opens]], return_counts=True)
@@ -145,7 +145,7 @@ def _pack(texts: DataFrame, buckets: int, common: list[int]) -> DataFrame:
     def run(batches):
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int8(), pa.int64(), pa.int64())
         names = ("doc", "mark", "start", "n", "kind", "w1", "w2")
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             r = _Runs(batch["raw"].to_pylist())
             ids = batch["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)
             marks = batch["mark"].to_numpy(zero_copy_only=False).astype(np.int64)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stage, unstage
+from .common import documents, slices, stage, unstage
 from .wordhash import mixed, windows, words
 
 GRAM = 5
@@ -39,9 +39,11 @@ RADIUS = 1 - PERCENT / 100
 #: Regions of up to so many documents take all of them as pivots in the second round.
 SMALL = 48
 #: Shingles in so many documents of one batch, and of all batches together, come last in the order; at most so many.
-COMMON_BATCH, COMMON_TOTAL, COMMON_KEPT = 8, 48, 200_000
+COMMON_BATCH, COMMON_TOTAL, COMMON_KEPT = 3, 48, 200_000
 #: Bytes of text for which there is one bucket of seeds, and members for each copy of a pivot.
 BUCKET_BYTES, MIN_BUCKETS, MEMBERS = 2_000_000, 64, 256
+#: Documents of a large region that one task holds against the region's pivots.
+LARGE_PART = 2000
 #: Bytes of the smallest sketch, and document ids that may be broadcast (8 bytes each) once they are counted.
 SKETCH_LEAST, BROADCAST_IDS = 64, 500_000
 
@@ -83,16 +85,33 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
 
 
+class Sketches:
+    """Sketches of documents side by side, by length, to be held against one pivot at a time."""
+
+    def __init__(self, sketches: list[bytes], n: np.ndarray):
+        self.n = n
+        self.length = np.array([len(e) for e in sketches], np.int64)
+        self.of = {}
+        for size in np.unique(self.length).tolist():
+            rows = np.flatnonzero(self.length == size)
+            self.of[size] = (rows, np.frombuffer(b"".join(sketches[i] for i in rows.tolist()), np.uint8).reshape(len(rows), size).astype(np.int16))
+
+    def may_link(self, e: bytes, n: int) -> np.ndarray:
+        """False only for documents that can't be linked with the pivot: by sizes, or as counts differ by too much."""
+        out = 100 * np.minimum(self.n, n) >= PERCENT * np.maximum(self.n, n)
+        q = np.frombuffer(e, np.uint8).astype(np.int16)
+        for size, (rows, x) in self.of.items():
+            same = min(size, len(q))
+            a, b = (v.reshape(*v.shape[:-1], -1, same).sum(axis=-2) for v in (x, q))
+            far = (100 + PERCENT) * np.abs(a - b).sum(axis=-1) > (100 - PERCENT) * (self.n[rows] + n)
+            if size != len(q):  # a full byte can't be added up
+                far &= ~((x == 255).any(axis=-1) | (q == 255).any())
+            out[rows] &= ~far
+        return out
+
+
 def may_link(a: bytes, b: bytes, na: int, nb: int) -> bool:
-    """False only for sets that can't be linked: by their sizes, or as their counts differ by more than linked sets can."""
-    if 100 * min(na, nb) < PERCENT * max(na, nb):
-        return False
-    x, y = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (a, b))
-    if 255 not in a and 255 not in b and len(x) != len(y):
-        x, y = (v.reshape(-1, min(len(x), len(y))).sum(axis=0) for v in (x, y))
-    if len(x) != len(y):  # a full byte can't be added up
-        return True
-    return (100 + PERCENT) * int(np.abs(x - y).sum()) <= (100 - PERCENT) * (na + nb)
+    return bool(Sketches([a], np.array([na])).may_link(b, nb)[0])
 
 
 def linked(inter: int, a: int, b: int) -> bool:
@@ -107,7 +126,7 @@ def _scan(texts: DataFrame) -> DataFrame:
     """One pass over the texts. kind 0: a = doc_id, b = set size, c and d = signature, e = sketch. kind 1: a = common shingle, b = documents."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = shingle_sets(batch["raw"].to_pylist())
             sig = [signature(s) for s in sets]
             yield pa.RecordBatch.from_pydict(
@@ -135,7 +154,7 @@ def _seeds(texts: DataFrame, common: list[int], buckets: int) -> DataFrame:
     last = np.sort(np.array(common, np.int64).view(np.uint64))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids = batch["doc_id"].to_pylist()
             seen, tokens, docs = set(), [], []
             for i, s in zip(ids, shingle_sets(batch["raw"].to_pylist()), strict=True):
@@ -273,16 +292,27 @@ def _join_classes(links: DataFrame, known: DataFrame | None) -> DataFrame:
     return stage(every.join(merged, every["component"] == merged["node"], "left").select(every["node"], F.coalesce("top", "component").alias("component")), "cc-classes")
 
 
-def _others(table: pa.Table) -> pa.Table:
-    """Pairs of one small region that its first pivot leaves open: other components, sizes and windows within reach."""
-    doc, n = table["doc"].to_numpy(), table["n"].to_numpy()
-    comp, d = table["component"].to_numpy(), table["distance"].to_numpy(zero_copy_only=False)
-    order = np.argsort(doc)
-    doc, n, comp, d = doc[order], n[order], comp[order], d[order]
-    i, j = np.triu_indices(len(doc), 1)
-    near = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
-    near &= ~(np.abs(d[i] - d[j]) > RADIUS + 1e-9) & (d[i] != 0) & (d[j] != 0)  # an unknown distance is NaN
-    return pa.table({"p": doc[i[near]], "x": doc[j[near]]})
+def _candidates(rows: pa.Table, pivots: pa.Table, both: bool) -> pa.Table:
+    """Pairs (pivot, document) of one region that stay open: other components, sizes, sketches and windows within reach.
+
+    With `both`, rows and pivots are the same documents, and each pair comes once.
+    """
+    doc, n, comp, d = (rows[c].to_numpy(zero_copy_only=False) for c in ("doc", "n", "component", "distance"))
+    own = Sketches(rows["e"].to_pylist(), n)
+    ps, xs = [], []
+    for p, pn, pc, pd, pe in zip(*(pivots[c].to_pylist() for c in ("doc", "n", "component", "distance", "e")), strict=True):
+        if pd == 0:
+            continue  # the first pivot
+        near = (comp != pc) & ~(np.abs(d - (np.nan if pd is None else pd)) > RADIUS + 1e-9) & ~(d == 0)  # an unknown distance is NaN
+        if both:
+            near &= doc > p
+        if near.any():
+            near &= own.may_link(pe, pn)
+            x = doc[near]
+            ps.append(np.full(len(x), p, np.int64))
+            xs.append(x)
+    cat = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64())
+    return pa.table({"p": cat(ps), "x": cat(xs)})
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -330,8 +360,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the pivot is at 0; where sizes or sketches already said no, the distance is not known and opens every window
     rest = rest.select("region", "m", "doc", "n", F.when(F.col("doc") == F.col("p"), 0.0).otherwise(F.col("distance")).alias("distance"))
     opened = stage(still_open(rest), "jaccard-open")
-    small = opened.where(F.col("m") <= SMALL).groupBy("region").applyInArrow(_others, "p long, x long")
-    fresh = stage(within_reach(small.distinct().join(measured, ["p", "x"], "left_anti"), sketches), "jaccard-pairs")
+    with_sketch = lambda rows: rows.join(sketches.select(F.col("rep").alias("doc"), "e"), "doc")
+    small = with_sketch(opened.where(F.col("m") <= SMALL)).groupBy("region").applyInArrow(lambda t: _candidates(t, t, True), "p long, x long")
+    fresh = stage(small.distinct().join(measured, ["p", "x"], "left_anti"), "jaccard-pairs")
     more = stage(measure(texts, fresh).where(F.col("distance") <= RADIUS).select(F.col("p").alias("a"), F.col("x").alias("b")), "jaccard-links")
     known = _join_classes(more, known)
 
@@ -345,11 +376,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         draw = F.pmod(F.xxhash64("doc", F.lit(pivots)), F.lit(1 << 30)) / float(1 << 30)
         first = now.groupBy("region").agg(F.min(F.struct(F.xxhash64("doc", F.lit(pivots)), "doc")).alias("f")).select("region", F.col("f.doc").alias("f"))
         drawn = now.join(total, "region").join(first, "region").withColumn("is_pivot", (F.col("doc") == F.col("f")) | (draw * F.col("m") < pivots))
-        drawn = stage(drawn.drop("f", "m"), "jaccard-drawn")
-        q = drawn.where("is_pivot").select("region", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("distance").alias("pd"), F.col("component").alias("pc"))
-        reach = (F.col("component") != F.col("pc")) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")) & F.coalesce(F.abs(F.col("distance") - F.col("pd")) <= RADIUS + 1e-9, F.lit(True))
-        pairs = drawn.join(q, "region").where(reach).select("p", F.col("doc").alias("x")).distinct()
-        found = stage(measure(texts, stage(within_reach(pairs, sketches), "jaccard-pairs")).where(F.col("distance") <= RADIUS).select(F.col("p").alias("a"), F.col("x").alias("b")), "jaccard-links")
+        drawn = stage(with_sketch(drawn.withColumn("copies", F.ceil(F.col("m") / LARGE_PART).cast("int")).drop("f", "m")), "jaccard-drawn")
+        # a region is dealt in parts, and its pivots go to each
+        part = drawn.withColumn("part", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("copies")).cast("int"))
+        q = drawn.where("is_pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        columns = ["region", "part", "doc", "n", "component", "distance", "e"]
+        pairs = part.select(columns).groupBy("region", "part").cogroup(q.select(columns).groupBy("region", "part"))
+        pairs = stage(pairs.applyInArrow(lambda rows, own: _candidates(rows, own, False), "p long, x long").distinct(), "jaccard-pairs")
+        found = stage(measure(texts, pairs).where(F.col("distance") <= RADIUS).select(F.col("p").alias("a"), F.col("x").alias("b")), "jaccard-links")
         known = _join_classes(found, known)
         large = stage(drawn.where("not is_pivot").select("region", "doc", "n", "distance"), "jaccard-large")
         pivots *= 2

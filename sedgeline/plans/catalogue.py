@@ -2,5 +2,247 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import encode as E
+from ..functions import formats, mods
+from ..functions.rules import INTEGER, NUMBER, RULES, STRING
+from ..sources.payload import decode, is_json, shape, unknown_keys
+from .compiler import apply_pipes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def passes(step: str, c: Column, kind: str) -> Column:
+    name, _, arg = step.partition("=")
+    return RULES[name].test(c, kind, tuple(arg.split("|")) if arg else ())
+
+
+@query("SELECT doc_id, strlen(text) > 0 AS notempty, strlen(text) = 1500 AS len_ok, strlen(text) >= 100 AS min_ok, strlen(text) <= 5000 AS max_ok FROM documents")
+def val_len_bytes(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", passes("notempty", t, STRING).alias("notempty"), passes("len=1500", t, STRING).alias("len_ok"), passes("minlen=100", t, STRING).alias("min_ok"), passes("maxlen=5000", t, STRING).alias("max_ok"))
+
+
+@query("SELECT doc_id, length(text) = 1500 AS runes_ok, length(text) >= 100 AS min_ok, length(text) <= 5000 AS max_ok FROM documents")
+def val_runes(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", passes("runes=1500", t, STRING).alias("runes_ok"), passes("minrunes=100", t, STRING).alias("min_ok"), passes("maxrunes=5000", t, STRING).alias("max_ok"))
+
+
+@query("SELECT doc_id, regexp_full_match(lang, '[A-Za-z0-9]+') AS ok FROM documents")
+def val_alphanum(spark, d):
+    return table(spark, d, "documents").select("doc_id", passes("alphanum", F.col("lang"), STRING).alias("ok"))
+
+
+@query(r"SELECT doc_id, NOT regexp_matches(text, '\p{Lu}') AS ok FROM documents")
+def val_islower(spark, d):
+    return table(spark, d, "documents").select("doc_id", passes("islower", F.col("text"), STRING).alias("ok"))
+
+
+@query(r"SELECT doc_id, NOT regexp_matches(text, '\p{Ll}') AS ok FROM documents")
+def val_isupper(spark, d):
+    return table(spark, d, "documents").select("doc_id", passes("isupper", F.col("text"), STRING).alias("ok"))
+
+
+@query("SELECT page_id, strpos(url, '://') > 1 AND length(url) >= strpos(url, '://') + 3 AS ok FROM pages")
+def val_url(spark, d):
+    return table(spark, d, "pages").select("page_id", passes("url", F.col("url"), STRING).alias("ok"))
+
+
+@query("SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE') AS ok FROM customer")
+def val_oneof(spark, d):
+    return table(spark, d, "customer").select("c_custkey", passes("oneof=BUILDING|MACHINERY|FURNITURE", F.col("c_mktsegment"), STRING).alias("ok"))
+
+
+@query("SELECT o_orderkey, o_custkey % 7 = 0 AS ok FROM orders")
+def val_multiple(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", passes("multiple=7", F.col("o_custkey"), INTEGER).alias("ok"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_discount > 0.02 AS gt_ok, l_discount >= 0.02 AS gte_ok, l_quantity < 40 AS lt_ok, l_quantity <= 40 AS lte_ok FROM lineitem")
+def val_range(spark, d):
+    a, b = F.col("l_discount"), F.col("l_quantity")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", passes("gt=0.02", a, NUMBER).alias("gt_ok"), passes("gte=0.02", a, NUMBER).alias("gte_ok"), passes("lt=40", b, NUMBER).alias("lt_ok"), passes("lte=40", b, NUMBER).alias("lte_ok"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS eq_ok, l_returnflag <> 'N' AS neq_ok FROM lineitem")
+def val_eq_neq(spark, d):
+    c = F.col("l_returnflag")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", passes("eq=R", c, STRING).alias("eq_ok"), passes("neq=N", c, STRING).alias("neq_ok"))
+
+
+@query("SELECT page_id, starts_with(url, 'https') AS starts_ok, ends_with(url, '1') AS ends_ok, contains(url, 'example') AS contains_ok FROM pages")
+def val_affix(spark, d):
+    c = F.col("url")
+    return table(spark, d, "pages").select("page_id", passes("starts=https", c, STRING).alias("starts_ok"), passes("ends=1", c, STRING).alias("ends_ok"), passes("contains=example", c, STRING).alias("contains_ok"))
+
+
+@query("SELECT c_custkey, regexp_full_match(substr(c_name, 10), '[0-9]+') AS numeric_ok, regexp_full_match(substr(c_mktsegment, 1, 3), '[0-9A-Fa-f]+') AS hex_ok FROM customer")
+def val_numeric_hex(spark, d):
+    return table(spark, d, "customer").select("c_custkey", passes("numeric", F.expr("substr(c_name, 10)"), STRING).alias("numeric_ok"), passes("hexadecimal", F.expr("substr(c_mktsegment, 1, 3)"), STRING).alias("hex_ok"))
+
+
+_CLASS = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+@query(rf"SELECT doc_id, regexp_replace(text, '^[{_CLASS}]+|[{_CLASS}]+$', '', 'g') AS trimmed FROM documents")
+def mod_trim(spark, d):
+    return table(spark, d, "documents").select("doc_id", mods.trim(F.col("text")).alias("trimmed"))
+
+
+@query("SELECT p_partkey, lower(p_brand) AS low, upper(p_name) AS up FROM part")
+def mod_case(spark, d):
+    return table(spark, d, "part").select("p_partkey", mods.lower(F.col("p_brand")).alias("low"), mods.upper(F.col("p_name")).alias("up"))
+
+
+@query("SELECT c_custkey, CASE WHEN starts_with(c_name, 'Customer#') THEN substr(c_name, 10) ELSE c_name END AS l, CASE WHEN ends_with(c_name, '1') THEN substr(c_name, 1, length(c_name) - 1) ELSE c_name END AS r FROM customer")
+def mod_affix(spark, d):
+    c = F.col("c_name")
+    return table(spark, d, "customer").select("c_custkey", mods.trim_left(c, "Customer#").alias("l"), mods.trim_right(c, "1").alias("r"))
+
+
+@query("SELECT p_partkey, replace(p_name, 'a', '4') AS name FROM part")
+def mod_replace(spark, d):
+    return table(spark, d, "part").select("p_partkey", mods.MODS["replace"].apply(F.col("p_name"), STRING, ("a", "4")).alias("name"))
+
+
+@query("SELECT o_orderkey, least(greatest(o_totalprice, 1000.0::DOUBLE), 200000.0::DOUBLE) AS price FROM orders")
+def mod_clamp(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", mods.clamp(F.col("o_totalprice"), "1000", "200000", False).alias("price"))
+
+
+def _rules_of(errors: str) -> Column:
+    return F.transform(errors, lambda e: e["rule"])
+
+
+@query("SELECT o_orderkey, least(greatest(o_totalprice, 50000.0::DOUBLE), 200000.0::DOUBLE) AS o_totalprice, CASE WHEN o_totalprice >= 100000 THEN '' ELSE 'gte' || CASE WHEN least(greatest(o_totalprice, 50000.0), 200000.0) >= 60000 THEN '' ELSE ',gte' END END AS failed FROM orders")
+def pipe_order(spark, d):
+    out = apply_pipes(table(spark, d, "orders"), {"o_totalprice": "gte=100000 clamp=50000|200000 gte=60000"})
+    return out.select("o_orderkey", "o_totalprice", F.array_join(_rules_of("errors"), ",").alias("failed"))
+
+
+_CUSTOMER = {"c_name": "trimleft=Customer# numeric len=9", "c_mktsegment": "oneof=BUILDING|MACHINERY|FURNITURE", "c_acctbal": "gte=0"}
+_SEGMENT, _BALANCE = "c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE')", "c_acctbal < 0"
+
+
+@query(f"SELECT c_custkey, substr(c_name, 10) AS c_name, c_mktsegment, c_acctbal, NOT ({_SEGMENT} OR {_BALANCE}) AS valid, CASE WHEN {_SEGMENT} THEN 'oneof' WHEN {_BALANCE} THEN 'gte' END AS first_rule FROM customer")
+def pipe_first_error(spark, d):
+    out = apply_pipes(table(spark, d, "customer"), _CUSTOMER, errors="first")
+    return out.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", "valid", F.get(_rules_of("errors"), F.lit(0)).alias("first_rule"))
+
+
+@query(f"SELECT c_custkey, concat_ws(',', CASE WHEN {_SEGMENT} THEN 'oneof' END, CASE WHEN {_BALANCE} THEN 'gte' END) AS failed FROM customer")
+def pipe_all_errors(spark, d):
+    return apply_pipes(table(spark, d, "customer"), _CUSTOMER).select("c_custkey", F.array_join(_rules_of("errors"), ",").alias("failed"))
+
+
+@query("SELECT vec_id, len(list_filter(embedding, lambda x: x < -0.2))::BIGINT AS low, len(embedding) = 64 AS len_ok, list_sum(list_transform(embedding, lambda x: CASE WHEN x < -0.2 THEN 1 ELSE 0 END))::BIGINT AS clamped FROM embeddings")
+def scope_inner(spark, d):
+    out = apply_pipes(table(spark, d, "embeddings").withColumn("v", F.col("embedding")), {"embedding": "len=64 inner:(gte=-0.2)", "v": "inner:(clamp=-0.2|)"})
+    bad = F.filter("errors", lambda e: e["rule"] == "gte")
+    same = F.zip_with("v", "embedding", lambda a, b: (a != b).cast("int"))
+    return out.select("vec_id", F.size(bad).cast("long").alias("low"), (F.size("embedding") == 64).alias("len_ok"), F.aggregate(same, F.lit(0).cast("long"), lambda a, x: a + x).alias("clamped"))
+
+
+@query("SELECT event_id, array_to_string(list_transform(json_keys(props), lambda x: upper(x)), ',') AS keys FROM events")
+def scope_keys(spark, d):
+    e = table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
+    return apply_pipes(e, {"m": "keys:(toupper)"}).select("event_id", F.array_join(F.map_keys("m"), ",").alias("keys"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, TRUE AS valid FROM events")
+def dec_field(spark, d):
+    schema = T.StructType([T.StructField("k", T.IntegerType())])
+    return decode(table(spark, d, "events").select("event_id", "props"), "props", schema).select("event_id", "k", "valid")
+
+
+@query("SELECT event_id, array_to_string(list_filter(json_keys(props), lambda x: x <> 'z'), ',') AS unknown FROM events")
+def obj_unknown(spark, d):
+    return table(spark, d, "events").select("event_id", F.array_join(unknown_keys(F.col("props"), ["z"]), ",").alias("unknown"))
+
+
+@query("SELECT c_custkey, lower(hex(encode(c_name))) AS hex, to_base64(encode(c_name)) AS b64 FROM customer")
+def fmt_hex_b64(spark, d):
+    raw = F.col("c_name").cast("binary")
+    return table(spark, d, "customer").select("c_custkey", formats.to_hex(raw).alias("hex"), formats.to_base64(raw).alias("b64"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS day FROM orders")
+def fmt_rfc3339(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", formats.to_rfc3339(F.col("o_orderdate")).alias("day"))
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) AS us FROM events")
+def fmt_unix(spark, d):
+    return table(spark, d, "events").select("event_id", formats.to_unix(F.col("ts")).alias("ms"), formats.to_unix(F.col("ts"), "micro").alias("us"))
+
+
+@query("SELECT n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}' AS json FROM nation")
+def enc_row(spark, d):
+    n = table(spark, d, "nation")
+    return n.select("n_nationkey", E.encode(n).alias("json"))
+
+
+@query("SELECT p_partkey, '{\"brand\":\"' || p_brand || '\"' || CASE WHEN p_size > 10 THEN ',\"size\":\"' || p_size || '\"' ELSE '' END || '}' AS json FROM part")
+def omit_rules(spark, d):
+    p = table(spark, d, "part").withColumn("none", F.lit("")).withColumn("size0", F.when(F.col("p_size") > 10, F.col("p_size")).otherwise(0))
+    out = {"p_brand": E.Out("brand"), "none": E.Out("none", omit_empty=True), "size0": E.Out("size", omit_zero=True, quoted=True)}
+    return p.select("p_partkey", E.encode(p, out).alias("json"))
+
+
+_PROBES = [
+    ('{"a":1}', True, "object"), ("[1,2]", True, "array"), ('"x"', True, "string"), ("12", True, "integer"), ("1.5", True, "number"), ("true", True, "bool"), ("null", True, "null"),
+    ('{"a":1} x', False, None), ('{"a":1}{"b":2}', False, None), ("[1,]", False, None), ("01", False, None), ("{'a':1}", False, None), ("NaN", False, None), ('{"a":1', False, None), ("1],[2", False, None),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', {}, {})".format(p.replace("'", "''"), str(ok).upper(), f"'{s}'" if s else "NULL") for p, ok, s in _PROBES) + ") t(payload, ok, shape)")
+def payload_integrity(spark, d):
+    df = spark.createDataFrame([(p,) for p, _, _ in _PROBES], "payload string")
+    ok = F.coalesce(is_json(F.col("payload")), F.lit(False))
+    return df.select("payload", ok.alias("ok"), F.when(ok, shape(F.try_parse_json("payload"))).alias("shape"))
+
+
+_OBJECTS = [
+    ('{"id":1,"name":"x"}', 1, "x", ""), ('{"name":"x"}', 0, "x", "required"), ('{"id":1,"name":null}', 1, None, "value"), ('{"id":1.0,"name":"x"}', None, "x", "value"),
+    ('{"id":"1","name":"x"}', None, "x", "value"), ('{"id":1,"name":"x","z":2}', 1, "x", "unknown"), ('{"id":1}', 1, "", ""), ('{"id":1,"id":2}', None, None, "syntax,duplicate"),
+    ('{"id":1} 2', None, None, "syntax"), ("[]", None, None, "syntax"),
+]
+
+
+def _sql(v) -> str:
+    return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+
+@query("SELECT payload, id::VARCHAR AS id, name, failed FROM (VALUES " + ", ".join(f"({', '.join(map(_sql, r))})" for r in _OBJECTS) + ") t(payload, id, name, failed)")
+def payload_policies(spark, d):
+    df = spark.createDataFrame([(r[0],) for r in _OBJECTS], "payload string")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    return decode(df, "payload", schema, required=("id",)).select("payload", F.col("id").cast("string").alias("id"), "name", F.array_join(_rules_of("errors"), ",").alias("failed"))
+
+
+@query("SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN " + _SEGMENT + " THEN 'oneof' END, CASE WHEN " + _BALANCE + " THEN 'gte' END], lambda x: x IS NOT NULL)) AS rule FROM customer) GROUP BY rule")
+def ext_violations(spark, d):
+    """Extension: violations by rule."""
+    out = apply_pipes(table(spark, d, "customer"), _CUSTOMER)
+    return out.select(F.explode(_rules_of("errors")).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))

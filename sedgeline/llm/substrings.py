@@ -24,7 +24,7 @@ from .common import documents, slices
 from .wordhash import mixed, sliding_min, windows, words
 
 WINDOW = 35
-MINI = 8
+MINI = 4
 #: Bytes of text for which there is one bucket.
 BUCKET_BYTES = 2_000_000
 MIN_BUCKETS = 64
@@ -107,7 +107,7 @@ def _pack(texts: DataFrame, buckets: int, common: list[int]) -> DataFrame:
     def rows(r: _Runs, ids: np.ndarray, marks: np.ndarray):
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         is_hot = np.isin(r.low, hot) if len(hot) else np.zeros(len(r.low), bool)
         plain = np.flatnonzero(~is_hot)
         order, opens, more = _groups(r.k1[plain], r.k2[plain])

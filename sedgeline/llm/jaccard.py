@@ -9,7 +9,7 @@ can't be linked. The join works in regions:
    window. Shingles that are common in some batch come last in the order; that list is bounded and changes the order only,
    never the result. Regions of one document vanish; regions with the same documents are one.
 2. Pivots. In each region one document is the pivot, and the others' distances to it are measured exactly.
-   A sketch of each set (counts by hash bits) bounds the distance from below and spares most of the measuring.
+   A sketch of each set (parities by hash bits) bounds the distance from below and spares most of the measuring.
 3. Recursion. A region whose documents are all in one component is done. In the others, the window of the triangle
    inequality and of the sizes leaves the documents that a further pivot can still reach. Small regions take every
    document as a pivot, large ones twice as many in each round, until every region is done: no link is lost.
@@ -78,11 +78,21 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Counts of a set's hashes by their last bits, one byte each; about one byte for four shingles."""
+    """Parities of a set's hashes by their last bits, one bit each: two to four bits for a shingle.
+
+    A bit differs between two sketches only if some shingle is in one set alone, so the bits that differ bound the
+    symmetric difference from below. A longer sketch folds to a shorter one by exclusive or.
+    """
     size = SKETCH_LEAST
-    while size * 8 <= len(s):
+    while size * 4 < len(s):
         size *= 2
-    return np.minimum(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+    odd = np.bincount((s & np.uint64(size * 8 - 1)).astype(np.int64), minlength=size * 8) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (last axis, in 64-bit parts) at `size` parts."""
+    return np.bitwise_xor.reduce(x.reshape(*x.shape[:-1], -1, size), axis=-2)
 
 
 class Sketches:
@@ -94,19 +104,19 @@ class Sketches:
         self.of = {}
         for size in np.unique(self.length).tolist():
             rows = np.flatnonzero(self.length == size)
-            self.of[size] = (rows, np.frombuffer(b"".join(sketches[i] for i in rows.tolist()), np.uint8).reshape(len(rows), size).astype(np.int16))
+            self.of[size // 8] = (rows, np.frombuffer(b"".join(sketches[i] for i in rows.tolist()), np.uint64).reshape(len(rows), size // 8))
 
     def may_link(self, e: bytes, n: int) -> np.ndarray:
-        """False only for documents that can't be linked with the pivot: by sizes, or as counts differ by too much."""
+        """False only for documents that can't be linked with the pivot: by sizes, or as parities differ by too much."""
         out = 100 * np.minimum(self.n, n) >= PERCENT * np.maximum(self.n, n)
-        q = np.frombuffer(e, np.uint8).astype(np.int16)
+        q = np.frombuffer(e, np.uint64)
         for size, (rows, x) in self.of.items():
-            same = min(size, len(q))
-            a, b = (v.reshape(*v.shape[:-1], -1, same).sum(axis=-2) for v in (x, q))
-            far = (100 + PERCENT) * np.abs(a - b).sum(axis=-1) > (100 - PERCENT) * (self.n[rows] + n)
-            if size != len(q):  # a full byte can't be added up
-                far &= ~((x == 255).any(axis=-1) | (q == 255).any())
-            out[rows] &= ~far
+            near = out[rows]
+            if not near.any():
+                continue
+            rows, x, same = rows[near], x[near], min(size, len(q))
+            differ = np.bitwise_count(folded(x, same) ^ folded(q, same)).sum(axis=-1, dtype=np.int64)
+            out[rows] = (100 + PERCENT) * differ <= (100 - PERCENT) * (self.n[rows] + n)
         return out
 
 

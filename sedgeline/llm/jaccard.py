@@ -12,7 +12,7 @@ can't be linked. The join works in regions:
    A sketch of each set (parities by hash bits) bounds the distance from below and spares most of the measuring.
 3. Recursion. A region whose documents are all in one component is done. In the others, the window of the triangle
    inequality and of the sizes leaves the documents that a further pivot can still reach. Small regions take every
-   document as a pivot, large ones twice as many in each round, until every region is done: no link is lost.
+   document as a pivot, large ones MORE_PIVOTS times as many in each round, until every region is done: no link is lost.
 
 Copies of one set are one document here (their smallest doc_id), and join their class at the end. Links and components
 stay in tables; components come from label spreading with pointer jumps.
@@ -42,6 +42,8 @@ SMALL = 48
 COMMON_BATCH, COMMON_TOTAL, COMMON_KEPT = 3, 48, 200_000
 #: Bytes of text for which there is one bucket of seeds, and members for each copy of a pivot.
 BUCKET_BYTES, MIN_BUCKETS, MEMBERS = 2_000_000, 64, 256
+#: Pivots of a large region in its first round, and how many times as many each round takes.
+FIRST_PIVOTS, MORE_PIVOTS = 32, 4
 #: Documents of a large region that one task holds against the region's pivots.
 LARGE_PART = 2000
 #: Bytes of the smallest sketch, and document ids that may be broadcast (8 bytes each) once they are counted.
@@ -376,7 +378,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = stage(measure(texts, fresh).where(F.col("distance") <= RADIUS).select(F.col("p").alias("a"), F.col("x").alias("b")), "jaccard-links")
     known = _join_classes(more, known)
 
-    large, pivots = stage(opened.where((F.col("m") > SMALL) & ~F.col("distance").eqNullSafe(0.0)).select("region", "doc", "n", "distance"), "jaccard-large"), 8
+    large, pivots = stage(opened.where((F.col("m") > SMALL) & ~F.col("distance").eqNullSafe(0.0)).select("region", "doc", "n", "distance"), "jaccard-large"), FIRST_PIVOTS
     while large.limit(1).count():
         now = stage(still_open(large), "jaccard-large")
         if not now.limit(1).count():
@@ -396,7 +398,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = stage(measure(texts, pairs).where(F.col("distance") <= RADIUS).select(F.col("p").alias("a"), F.col("x").alias("b")), "jaccard-links")
         known = _join_classes(found, known)
         large = stage(drawn.where("not is_pivot").select("region", "doc", "n", "distance"), "jaccard-large")
-        pivots *= 2
+        pivots *= MORE_PIVOTS
     return nodes, known
 
 

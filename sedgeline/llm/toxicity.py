@@ -26,6 +26,8 @@ from .common import documents, stage
 
 #: Bound of the labelled sample.
 LABELLED_ROWS = 20_000
+#: Partitions of that sample: the limit leaves it in one.
+LABELLED_PARTS = 48
 #: Entries of the learned lexicon, and candidates that are counted for it.
 LEXICON, CANDIDATES = 20_000, 100_000
 MIN_TOXIC, MIN_WEIGHT = 3, 2.0
@@ -147,10 +149,10 @@ class Scorer:
 
     def features(self, text: str) -> list[float]:
         tokens = _TOKEN.findall(text.lower())
-        weigh = self.weights
-        values = [weigh[t] for t in tokens]
-        if not any(values) and THREATS.isdisjoint(tokens):
+        weigh, seen = self.weights, set(tokens)
+        if THREATS.isdisjoint(seen) and not any(map(weigh.__getitem__, seen)):
             return [0.0] * FEATURES
+        values = [weigh[t] for t in tokens]
         best = total = negated = reported = clause = 0.0
         hits, state, step = 0, self.machine.start, self.machine.step
         for t, v in zip(tokens, values, strict=True):
@@ -187,7 +189,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = min(1.0, 0.97 * LABELLED_ROWS / max(1, total))
     own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return stage(picked.join(F.broadcast(own), "doc_id").select("text", "toxic").limit(2 * LABELLED_ROWS), "toxic-train")
+    return stage(picked.join(F.broadcast(own), "doc_id").select("text", "toxic").limit(2 * LABELLED_ROWS).repartition(LABELLED_PARTS), "toxic-train")
 
 
 def _emit(counter: Counter, col: str):

@@ -187,6 +187,25 @@ def fmt_hex_b64(spark, d):
     return table(spark, d, "customer").select("c_custkey", formats.to_hex(raw).alias("hex"), formats.to_base64(raw).alias("b64"))
 
 
+def _base32_sql(alphabet: str) -> str:
+    place = " + ".join(f"{16 >> k} * substr(rpad(bin(c_name), (8 * strlen(c_name) + 4)::INT, '0'), (5 * i + {k + 1})::INT, 1)::INT" for k in range(5))
+    used = "(8 * strlen(c_name) + 4) // 5"
+    return f"array_to_string(list_transform(range({used}), lambda i: substr('{alphabet}', 1 + {place}, 1)), '') || repeat('=', ((8 - ({used}) % 8) % 8)::INT)"
+
+
+@query(f"SELECT c_custkey, {_base32_sql(formats.BASE32)} AS b32, {_base32_sql(formats.BASE32HEX)} AS b32hex, c_name AS back FROM customer")
+def fmt_base32(spark, d):
+    raw = F.col("c_name").cast("binary")
+    text = formats.to_base32(raw)
+    return table(spark, d, "customer").select("c_custkey", text.alias("b32"), formats.to_base32(raw, formats.BASE32HEX).alias("b32hex"), formats.from_base32(text).cast("string").alias("back"))
+
+
+@query("SELECT c_custkey, c_name AS back, CASE WHEN strlen(c_name) = 18 THEN c_name END AS fixed FROM customer")
+def fmt_number_array(spark, d):
+    back = formats.from_number_array(formats.to_number_array(F.col("c_name").cast("binary")))
+    return table(spark, d, "customer").select("c_custkey", back.cast("string").alias("back"), formats.of_length(back, 18).cast("string").alias("fixed"))
+
+
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS day FROM orders")
 def fmt_rfc3339(spark, d):
     return table(spark, d, "orders").select("o_orderkey", formats.to_rfc3339(F.col("o_orderdate")).alias("day"))

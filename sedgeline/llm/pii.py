@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksum validators confirm them, nearby words adjust the score.
 
 Every text is scanned whole. Base kinds (email, ip, card, phone) follow a fixed contract; the method adds IBANs that
-pass mod-97, national numbers of the 3-2-4 form and bare international account numbers only when context words near
+pass mod-97 (of a match that runs on into the words behind it, the part that passes), national numbers of the 3-2-4 form and bare international account numbers only when context words near
 them raise their score to KEEP. Defined results: null text counts as empty; an empty text has no spans; repeated rows
 give repeated rows; extra columns of the input are ignored.
 """
@@ -31,6 +31,17 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # The method's own.
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9[0-9][0-9])[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+#: Lengths of IBANs by country.
+IBAN_LENGTH = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in cs.split()
+}
 _DIGIT = re.compile(r"[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -60,6 +71,24 @@ def mod97(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Parts of the pattern's matches that end at a token's border and pass mod-97: of the country's length, else the longest.
+
+    A match that has none is left at its first character, so that a number inside it is still found.
+    """
+    out, m = [], _IBAN.search(text)
+    while m:
+        a, b = m.span()
+        ends = [b, *(i for i in range(b - 1, a, -1) if text[i] == " ")]
+        own = IBAN_LENGTH.get(text[a : a + 2])
+        ends.sort(key=lambda i: len(text[a:i].replace(" ", "")) != own)  # stable: the longest first
+        end = next((i for i in ends if mod97(text[a:i])), None)
+        if end:
+            out.append((a, end))
+        m = _IBAN.search(text, end or a + 1)
+    return out
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches of the e-mail pattern, found from each @ outwards: linear in the text."""
     out, done, at = [], 0, text.find("@")
@@ -94,9 +123,7 @@ def spans(text: str) -> list[tuple[int, int, str, float]]:
             for m in _PHONE.finditer(text):
                 if 9 <= len(_digits(m[0])) <= 15:
                     found.append((*m.span(), "phone"))
-        for m in _IBAN.finditer(text):
-            if mod97(m[0]):
-                found.append((*m.span(), "iban"))
+        found += [(a, b, "iban") for a, b in ibans(text)]
         if "-" in text:
             for m in _SSN.finditer(text):
                 found.append((*m.span(), "ssn"))

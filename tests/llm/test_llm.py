@@ -166,6 +166,17 @@ def test_pii():
     assert not any(k == "card" for *_, k, _ in pii.spans("4111 1111 1111 1112"))
 
 
+def test_ibans_before_other_tokens():
+    for number in ("ES9121000418450200051332", "BE71 0961 2345 6769", "AT611904300234573201", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"):
+        for behind in ("", " CAIXESBB", " GEBABEBB36A", " EUR", " 2024", " EUR 2024 PAID", " PLEASE PAY", " AB12 0000 1111 2222", ", EUR"):
+            t = f"to {number}{behind}"
+            assert [(a, b) for a, b, k, _ in pii.spans(t) if k == "iban"] == [(3, 3 + len(number))], t
+            assert pii.redact(t, pii.spans(t)).startswith("to [IBAN]")
+    two = "AB12 0000 1111 BE71 0961 2345 6769 ES91 2100 0418 4502 0005 1332 EUR"  # behind a part of none, and one behind the other
+    assert [two[a:b] for a, b in pii.ibans(two)] == ["BE71 0961 2345 6769", "ES91 2100 0418 4502 0005 1332"]
+    assert pii.ibans("BE72 0961 2345 6769 GEBABEBB") == []
+
+
 def test_licenses():
     s = licenses.Scanner()
     got = s.scan("Under the GNU general,public license.\nMIT License; cc  by")

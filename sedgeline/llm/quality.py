@@ -3,8 +3,9 @@
 Each text gives a vector of transformed statistics. For each (lang, source), a minimum-covariance-determinant estimate
 is found by concentration steps: start from medians and median deviations, keep the COVERAGE share of rows with the
 smallest distances, take their mean and covariance, repeat. Distances are Mahalanobis distances under the group's
-estimate, scaled so that their median is that of a chi-square variable. A row beyond CUTOFF is rejected. Groups of a few
-rows lean on their language's estimate: it counts as PRIOR_ROWS rows of every group.
+estimate, scaled so that their median is that of a chi-square variable. Groups of a few rows lean on their language's
+estimate: it counts as PRIOR_ROWS rows of every group. A row beyond the cutoff is rejected; the cutoff comes from the
+table's own distances (see `cutoff`), labels play no part.
 
 Aggregates combine on the map side, so a source with a third of all rows costs one row a task. Statistics of texts are
 computed once into a narrow table. Defined results: null text has no words; texts without words fail the base rules and
@@ -13,9 +14,10 @@ take no part in estimates; null lang or source is a group of its own; an empty t
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, WORD_CLASS, attach, documents, stage
@@ -26,9 +28,16 @@ MAX_REPEAT_PERCENT = 30
 COVERAGE = 0.75
 STEPS = 2
 PRIOR_ROWS = 50
-#: Quantile 0.5 of chi-square with five degrees of freedom, and the distance beyond which a row is rejected.
-CHI2_MEDIAN = 4.3515
-CUTOFF = 225.0
+#: Quantiles 0.5 and 0.999 of chi-square with five degrees of freedom.
+CHI2_MEDIAN, CHI2_FAR = 4.3515, 20.515
+#: Bins of the far distances' logarithms.
+BIN = 0.02
+#: Share of variance between two classes from which they count as two: that of a uniform density cut in halves.
+TWO_CLASSES = 0.75
+#: Interquartile ranges above the upper quartile, for one class.
+FENCE = 1.5
+#: Standard deviations in a median deviation, for a normal variable.
+MAD_TO_SD = 1.4826
 #: Variances below this are raised to it: statistics that are constant in a group don't reject by themselves.
 FLOOR = (0.25, 0.04, 0.25, 0.25, 0.25)
 DIM = len(FLOOR)
@@ -156,7 +165,10 @@ def mcd(rows: DataFrame) -> DataFrame:
     """Estimates for rows with lang, source and the vector's columns."""
     centre = rows.groupBy("lang", "source").agg(*[F.percentile_approx(x, 0.5, F.lit(10_000)).alias(f"med{i}") for i, x in enumerate(_X)])
     apart = attach(rows, stage(centre, "mcd-centre"), ["lang", "source"])
-    d2 = reduce(lambda a, i: a + F.pow((F.col(_X[i]) - F.col(f"med{i}")) / F.lit(FLOOR[i]), F.lit(2)), range(DIM), F.lit(0.0))
+    off = [F.abs(F.col(x) - F.col(f"med{i}")) for i, x in enumerate(_X)]
+    spread = apart.groupBy("lang", "source").agg(*[F.percentile_approx(d, 0.5, F.lit(10_000)).alias(f"mad{i}") for i, d in enumerate(off)])
+    apart = attach(apart, stage(spread, "mcd-spread"), ["lang", "source"])
+    d2 = reduce(lambda a, i: a + F.pow(off[i] / F.greatest(MAD_TO_SD * F.col(f"mad{i}"), F.lit(FLOOR[i])), F.lit(2)), range(DIM), F.lit(0.0))
     estimate = _estimate(_keep_nearest(apart.withColumn("d2", d2).select(*rows.columns, "d2")))
     for _ in range(STEPS):
         estimate = _estimate(_keep_nearest(_distances(rows, estimate)))
@@ -167,6 +179,31 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+def cutoff(distances: DataFrame) -> float:
+    """The distance beyond which rows are rejected, from the column `distance` alone.
+
+    Few rows of one normal class lie beyond CHI2_FAR; the logarithms of those that do are cut in two so that the variance
+    between the classes is largest, and the cutoff is half-way between the classes' means. Where the classes aren't
+    apart by more than halves of a uniform density, there is one class: the cutoff is Tukey's fence over all logarithms.
+    """
+    logs = distances.where(F.col("distance") > 0).select(F.log("distance").alias("x"))
+    quartile = [F.percentile_approx("x", q, F.lit(10_000)) for q in (0.25, 0.75)]
+    fence = logs.agg((quartile[1] + FENCE * (quartile[1] - quartile[0])).alias("x")).first()["x"]
+    far = logs.where(F.col("x") > math.log(CHI2_FAR)).groupBy(F.floor(F.col("x") / BIN).alias("bin"))
+    far = far.agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    upto, every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    far = far.select(
+        F.sum("n").over(upto).alias("n"), F.sum("s").over(upto).alias("s"),
+        F.sum("n").over(every).alias("all_n"), F.sum("s").over(every).alias("all_s"), F.sum("q").over(every).alias("all_q"),
+    ).where(F.col("n") < F.col("all_n"))
+    low, high = F.col("s") / F.col("n"), (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n"))
+    between = F.col("n") * (F.col("all_n") - F.col("n")) / F.pow("all_n", F.lit(2)) * F.pow(high - low, F.lit(2))
+    whole = F.col("all_q") / F.col("all_n") - F.pow(F.col("all_s") / F.col("all_n"), F.lit(2))
+    best = far.select(between.alias("between"), (between / whole).alias("share"), ((low + high) / 2).alias("x")).agg(F.max(F.struct("between", "share", "x")).alias("b")).first()["b"]
+    at = best["x"] if best and best["share"] > TWO_CLASSES else fence
+    return math.inf if at is None else max(CHI2_FAR, math.exp(at))
+
+
 def judge_quality(docs: DataFrame) -> DataFrame:
     """One row a document: its statistics, base_failed, distance (scaled d2, null if the base rules failed) and kept."""
     rows = text_statistics(docs, ["doc_id", "lang", "source"]).withColumn("base_failed", base_failed())
@@ -176,7 +213,8 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     scale = _distances(good, estimate).groupBy("lang", "source").agg(F.percentile_approx("d2", 0.5, F.lit(10_000)).alias("mid"))
     out = attach(_distances(rows, estimate), stage(scale, "mcd-scale"), ["lang", "source"])
     distance = F.when(~F.col("base_failed"), F.col("d2") * CHI2_MEDIAN / F.greatest("mid", F.lit(0.5)))
-    return out.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))
+    out = stage(out.withColumn("distance", distance), "quality-distances")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff(out)))
 
 
 def op8_quality(spark, sf_dir) -> DataFrame:

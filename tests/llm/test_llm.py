@@ -119,6 +119,29 @@ def test_quality_base(docs):
         assert r["base_failed"] == (len(w) < 20 or 100 * rep > 30 * len(w)) and not (r["kept"] and r["base_failed"])
 
 
+def test_quality_cutoff_follows_distances(spark):
+    """The cutoff lies between two classes wherever they are, and beyond nearly all rows of one class."""
+    r = np.random.default_rng(8)
+    core = r.chisquare(5, 4000) * np.exp(r.exponential(0.5, 4000))
+    for junk in (150, 400, 3000):
+        d = np.concatenate([core, junk * np.exp(r.normal(0, 0.1, 300))])
+        at = quality.cutoff(spark.createDataFrame([(float(x),) for x in d] + [(None,)], "distance double"))
+        assert quality.CHI2_FAR < at < junk * 0.8 and (core > at).mean() < 0.02
+    one = quality.cutoff(spark.createDataFrame([(float(x),) for x in core], "distance double"))
+    assert (core > one).mean() < 0.02
+    assert quality.cutoff(spark.createDataFrame([], "distance double")) == float("inf")
+
+
+def test_quality_starts_from_median_deviations(spark, monkeypatch):
+    """Without steps, the start alone decides: a statistic that spreads widely doesn't push the others aside."""
+    r = np.random.default_rng(9)
+    x = r.normal(0, [3.0, 0.04, 0.25, 0.25, 0.25], (2000, 5))
+    monkeypatch.setattr(quality, "STEPS", 0)
+    rows = spark.createDataFrame([("en", "a", *map(float, v)) for v in x], ["lang", "source", *quality._X])
+    got = quality.mcd(rows).first()
+    assert got["f00"] > 2.0  # 1.86 where distances are scaled by the floors alone
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs).collect()
     again = {tuple(r) for r in mixing.mix(docs.repartition(7)).collect()}

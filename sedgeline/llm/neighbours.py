@@ -8,7 +8,7 @@ product in double precision.
 
 Defined results: vectors that are null, zero, of another length than the commonest, or hold null or non-finite
 components take no part; ties go to the smaller vec_id; a row that repeats is a candidate each time, but a query's own
-vec_id is none; an empty table gives an empty result; extra columns are ignored.
+vec_id is none; a vec_id whose row repeats is asked once (with its smallest vector, should they differ); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -213,7 +213,8 @@ def search(vectors: DataFrame, vec: str = "embedding", modulus: int = QUERY_MODU
             yield pa.RecordBatch.from_arrays([b["vec_id"].take(again), b["v"].take(again), pa.array(parts.ravel(), pa.int32())], ["vec_id", "v", "part"])
 
     indexed = stage(rows.mapInArrow(assign, "vec_id long, v array<double>, part int"), "ann-index")
-    asked = rows.where(F.col("vec_id") % modulus == 0).mapInArrow(route, "vec_id long, v array<double>, part int")
+    once = rows.where(F.col("vec_id") % modulus == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = once.mapInArrow(route, "vec_id long, v array<double>, part int")
     # blocks: at most MAX_PARTS counts
     n_rows = {r["part"]: r["n"] for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_asked = {r["part"]: r["n"] for r in asked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}

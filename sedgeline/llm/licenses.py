@@ -74,6 +74,7 @@ class Scanner:
         for piece, at in places.items():
             self.seeds.add_word(piece, (len(piece), at))
         self.seeds.make_automaton()
+        self.least = [max(1, len(n) - errors_allowed(n)) for n, _ in self.notices]
         self.fuzzy = [regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={errors_allowed(n)}}}") for n, _ in self.notices]
 
     def notices_in(self, normal: str) -> list[tuple[int, int, str, int]]:
@@ -92,9 +93,13 @@ class Scanner:
                     own.append([a, b])
         out = []
         for i, own in windows.items():
-            for a, b in own:
-                for m in self.fuzzy[i].finditer(normal, a, b):
+            while own:
+                a, b = own.pop()
+                # the best match of the part; others stand before and behind it
+                m = self.fuzzy[i].search(normal, a, b)
+                if m:
                     out.append((m.start(), m.end(), self.notices[i][1], sum(m.fuzzy_counts)))
+                    own += [[x, y] for x, y in ((a, m.start()), (m.end(), b)) if y - x >= self.least[i]]
         return sorted(out)
 
     def scan(self, text: str) -> dict:

@@ -220,6 +220,18 @@ def test_licenses():
     assert s.scan("")["first_word"] is None
 
 
+def test_neighbouring_notices():
+    s = licenses.Scanner()
+    best, worse, worst = "licensed under the mit license", "licensd under the mit license", "licensd undr the mit license"
+    for parts in ((worse, best), (best, worse), (worst, worse, best), (worse, best, worst), (best, best), (worst, best, worse)):
+        t = " and ".join(parts)
+        places, at = [], 0
+        for x in parts:
+            places.append((at, at + len(x), len(best) - len(x)))
+            at += len(x) + len(" and ")
+        assert [(a, b, e) for a, b, x, e in s.notices_in(t) if x == "mit"] == places, t
+
+
 def test_word_bpe():
     w = WordBpe()
     odd = ["it's DON'T 3.14² ½kg", "İstanbul ΟΔΟΣ", "a\x1cb <|endoftext|> x", "日本 ﬁ ñ “q”", "x_y __a__", "", " \n"] + [f"x{chr(i)}y {chr(i)}" for i in range(1, 0x250)]

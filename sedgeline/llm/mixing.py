@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, attach, documents, stage, unstage
+from .common import SPACE_CLASS, WORD_CLASS, attach, documents, stage, unstage
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -120,7 +120,10 @@ def op3_mixing(spark, sf_dir) -> DataFrame:
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: each document as often as the mix takes it, the one on the threshold cut to its first words."""
+    """The mix itself: each document as often as the mix takes it, the one on the threshold cut behind the last word taken.
+
+    What is kept of a cut text stands as it was, white space and line breaks too.
+    """
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("source"), n_words(F.col("text")).alias("size"), "doc_id")
     rows = rows.select("doc", "source", "size", row_hash(F.col("doc_id"), F.col("size")).alias("h"))
@@ -131,7 +134,8 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.concat(F.array_repeat(F.col("size"), F.col("times").cast("int")), F.when(whole > 0, F.array(whole)).otherwise(F.array().cast("array<bigint>")))
     )
     out = attach(rows, state, ["source"]).withColumn("taken", taken()).select("doc", "size", F.explode(takes).alias("take"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD_CLASS), 0), F.lit(1), F.col("take").cast("int")), " ")
+    with_space = F.regexp_extract_all("doc.text", F.lit(f"[{SPACE_CLASS}]*{WORD_CLASS}"), 0)  # each word and what stands before it
+    cut = F.array_join(F.slice(with_space, F.lit(1), F.col("take").cast("int")), "")
     out = out.withColumn("__text", F.when(F.col("take") < F.col("size"), cut).otherwise(F.col("doc.text")))
     put = {"text": F.col("__text"), "n_chars": F.when(F.col("take") < F.col("size"), F.length("__text")).otherwise(F.col("doc.n_chars")) if "n_chars" in names else None}
     return out.select([(put[c] if put.get(c) is not None else F.col("doc").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in names])

@@ -174,6 +174,21 @@ def test_mixing(docs):
     assert {s: out[s] for s in size} == {s: taken[s] for s in size}
 
 
+def test_mixing_keeps_text_before_the_cut(spark):
+    r = random.Random(6)
+    texts = {i: "".join(r.choice([" ", "\n", "\n\n  ", "\t"]) + f"w{i}x{k}" for k in range(90)) + "\n" for i in range(30)}
+    docs = spark.createDataFrame([(i, t, "en", "abc"[i % 3], len(t), 1) for i, t in texts.items()], SCHEMA)
+    taken = {x["doc_id"]: x for x in mixing.mix(docs).collect()}
+    cut = 0
+    for x in mixing.mix_stage(spark, docs, "").collect():
+        whole = texts[x["doc_id"]]
+        assert whole.startswith(x["text"]) and x["n_chars"] == len(x["text"])
+        if x["text"] != whole:
+            cut += 1
+            assert len(words(x["text"])) == taken[x["doc_id"]]["taken"] % 90
+    assert cut
+
+
 def test_pii():
     import re
 

@@ -53,6 +53,9 @@ def zero_of(t: T.DataType) -> Column:
 
 def check(pipe: Pipe, t: T.DataType, where: str, functions: dict[str, Function]) -> list[str]:
     kind, out = kind_of(t), []
+    for v in pipe.variants:
+        if v.function or v.args or v.name not in (".", "nullzero"):
+            out.append(f"{where}: input variant {'@' * v.function}{v.name}{'=' * bool(v.args)}{v.arg} isn't supported, only . and nullzero")
     for s in pipe.steps:
         if s.function:
             if s.name not in functions:

@@ -25,6 +25,16 @@ def test_grammar():
             parse(bad)
 
 
+def test_unsupported_variants(spark):
+    df = spark.createDataFrame([(1,), (None,)], "n long")
+    for text in ("nullzero / . / @ToInt ~ gte=0", "@ToInt ~ gte=0", ". / other ~ gte=0"):
+        with pytest.raises(StepError, match="input variant"):
+            apply_pipes(df, {"n": text})
+    with pytest.raises(StepError, match="input variant"):
+        apply_pipes(df.select(F.array("n").alias("n")), {"n": "inner:(. / @ToInt ~ gte=0)"})
+    assert [r["n"] for r in apply_pipes(df, {"n": "nullzero / . ~ gte=0"}).collect()] == [1, 0]
+
+
 @pytest.mark.parametrize(
     ("rule", "good", "bad"),
     [

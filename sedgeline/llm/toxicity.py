@@ -183,13 +183,18 @@ def held_out():
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most LABELLED_ROWS labelled texts outside the held-out fold, staged: text, toxic."""
+    """At most LABELLED_ROWS labelled texts outside the held-out fold, one a doc_id, staged: text, toxic.
+
+    Ids are taken by a hash; where an id's rows differ, its text is the smallest one.
+    """
     own = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = own.count()
     share = min(1.0, 0.97 * LABELLED_ROWS / max(1, total))
     own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    own = own.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "doc_id").limit(LABELLED_ROWS)
     picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return stage(picked.join(F.broadcast(own), "doc_id").select("text", "toxic").limit(2 * LABELLED_ROWS).repartition(LABELLED_PARTS), "toxic-train")
+    rows = picked.join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return stage(rows.select("text", "toxic").repartition(LABELLED_PARTS), "toxic-train")
 
 
 def _emit(counter: Counter, col: str):

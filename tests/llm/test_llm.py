@@ -348,6 +348,17 @@ def test_toxicity(spark):
     assert out == [("i", 1.25), ("x", 0.5), ("q", 0.7)]
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400) for _ in range(3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    got = [r["text"] for r in toxicity.training_rows(docs, labels).collect()]
+    assert sorted(got) == sorted(f"text {i}" for i in range(400) if zlib.crc32(str(i).encode()) % 5)
+    monkeypatch.setattr(toxicity, "LABELLED_ROWS", 100)
+    some = [r["text"] for r in toxicity.training_rows(docs, labels).collect()]
+    assert 60 < len(some) == len(set(some)) <= 100
+    assert sorted(some) == sorted(r["text"] for r in toxicity.training_rows(docs.repartition(5), labels).collect())
+
+
 def test_empty_tables(spark, empty):
     assert jaccard.jaccard_join(empty).count() == 0 and substrings.remove_repeats(empty).count() == 0
     assert mixing.mix(empty).count() == 0 and quality.judge_quality(empty).count() == 0

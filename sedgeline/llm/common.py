@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +25,11 @@ SALT = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for staged tables; a temporary one only where the setting is absent."""
+    """The cluster's shared folder for staged tables; one of this machine only where the setting is absent and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "sedgeline-stage")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -71,6 +75,20 @@ def attach(df: DataFrame, side: DataFrame, keys: list[str], rows: int | None = N
     return df.join(side, cond, "left").drop(*[f"__k_{c}" for c in keys], *drop)
 
 
+def attach_skewed(df: DataFrame, side: DataFrame, keys: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
+    """Join a staged table that has one row for each key; its column `weight` bounds or estimates a key's rows in `df`.
+
+    Keys with a ten-thousandth of all rows or more are broadcast (there are 10,000 of them at most, as weights add up to
+    `total`); the others are joined by a shuffle. The weight itself isn't kept.
+    """
+    least = max(1000, total // 10_000)
+    hot, cold = side.where(F.col(weight) >= least).drop(weight), side.where(F.coalesce(F.col(weight) < least, F.lit(True))).drop(weight)
+    if not hot.limit(1).count():
+        return df.join(cold, keys, how)
+    heavy = df.join(F.broadcast(hot), keys, "inner")
+    return heavy.unionByName(df.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys, how))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -91,6 +109,49 @@ def slices(batch: pa.RecordBatch, column: str = "raw") -> Iterator[pa.RecordBatc
         yield batch.slice(start)
 
 
+def lean_memory() -> None:
+    """In a Python worker: freed arrays go back to the system at once, instead of staying in the allocator."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD, which else grows with what is freed
+    except (OSError, AttributeError):
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from sorted batches, and the groups' edges in each; a group is never cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            x = batch[k].to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+            new[0] |= bool(held) and held[-1][k][held[-1].num_rows - 1].as_py() != x[0]
+        cut = np.flatnonzero(new)
+        if len(cut):
+            whole = [*held, batch.slice(0, cut[-1])]
+            table = pa.Table.from_batches([x for x in whole if x.num_rows])
+            if table.num_rows:
+                yield table.combine_chunks(), _edges(table, keys)
+            held = [batch.slice(cut[-1])]
+        else:
+            held.append(batch)
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table.combine_chunks(), _edges(table, keys)
+
+
+def _edges(table: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.ones(table.num_rows + 1, bool)
+    new[1:-1] = False
+    for k in keys:
+        x = table[k].to_numpy()
+        new[1:-1] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 def map_texts(
     docs: DataFrame, columns: dict[str, str], schema: str, make: Callable[[], Callable[[dict], Iterator[dict] | list[dict]]]
 ) -> DataFrame:

@@ -1,25 +1,29 @@
 """N-gram Jaccard join: exact components of documents whose shingle sets have a Jaccard distance of at most RADIUS.
 
-Jaccard distance is a metric, so a pivot with a ball around it settles much at once: what lies within RADIUS of the pivot
-is linked with it and hence in one component, and two documents whose distances to the pivot differ by more than RADIUS
-can't be linked. The join works in regions:
+Jaccard distance is a metric, so distances to a pivot say much at once: what lies within RADIUS of the pivot is linked
+with it, and two documents whose distances to it differ by more than RADIUS can't be linked. The join works in regions:
 
 1. Seeds. Two linked documents share one of their first floor(n / 4) + 1 shingles in any common order of all shingles, so
    each shingle (a pivot that is a single shingle) is a region, and a document is replicated to the regions of that
    window. Shingles that are common in some batch come last in the order; that list is bounded and changes the order only,
-   never the result. Regions of one document vanish; regions with the same documents are one.
-2. Pivots. In each region one document is the pivot, and the others' distances to it are measured exactly.
-   A sketch of each set (parities by hash bits) bounds the distance from below and spares most of the measuring.
-3. Recursion. A region whose documents are all in one component is done. In the others, the window of the triangle
-   inequality and of the sizes leaves the documents that a further pivot can still reach. Small regions take every
-   document as a pivot, large ones MORE_PIVOTS times as many in each round, until every region is done: no link is lost.
-
-Copies of one set are one document here (their smallest doc_id), and join their class at the end. Links and components
-stay in tables; components come from label spreading with pointer jumps.
+   never the result. Regions of one document vanish; regions with the same documents are one. Sizes and sketches (parities
+   by hash bits, which bound the distance from below) drop documents that can't be linked with any other of the region.
+2. Voronoi cells. Inside a region a few documents become pivots and all distances to them are measured exactly. Each
+   document goes to the cell of its nearest pivot; one that lies within 2 * RADIUS of being nearer to another pivot is
+   replicated to that cell too. Documents at OUTER or more from every pivot are a cell of their own, to which those
+   within RADIUS of that border are replicated. A linked pair meets in the cell that one of them calls home.
+3. Recursion. Cells are split again. A cell whose documents are all in one component is done; a region whose cells aren't
+   smaller (all documents about equally far from each other) is finished by taking each document outside its largest
+   component as a pivot. Cells up to LARGE shingles are one task's work; larger ones are split by rounds over the whole table.
+
+Each document is first compared in one region only, its largest; what is still open then (regions of several components,
+pairs of different first regions) is compared in a second pass. Copies of one set are one class. Only links leave a task:
+one for each document that joins a component there. Links and components stay in tables; components come from label
+spreading with pointer jumps.
 
 Defined results: null text and texts without words have n_shingles 0 and are alone; fewer than five words are one shingle;
-a row that repeats is a copy; a null doc_id is alone, with a null component; an empty table gives an empty result; extra
-columns are ignored.
+a row that repeats is a copy; rows with one doc_id and different texts are judged each by its own text; a null doc_id
+takes no part and has a null component; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,24 +33,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices, stage, unstage
+from .common import attach_skewed, documents, key_runs, lean_memory, slices, stage, unstage
 from .wordhash import mixed, windows, words
 
 GRAM = 5
-#: Linked: NEED_NUM * |union| <= NEED_DEN * |intersection|; the distance is at most RADIUS.
+#: Linked: PERCENT * |union| <= 100 * |intersection|; the distance is at most RADIUS.
 PERCENT = 75
 RADIUS = 1 - PERCENT / 100
-#: Regions of up to so many documents take all of them as pivots in the second round.
-SMALL = 48
+#: Distance from every pivot beyond which a document belongs to the outer cell.
+OUTER = 1 - RADIUS
 #: Shingles in so many documents of one batch, and of all batches together, come last in the order; at most so many.
 COMMON_BATCH, COMMON_TOTAL, COMMON_KEPT = 3, 48, 200_000
-#: Bytes of text for which there is one bucket of seeds, and members for each copy of a pivot.
-BUCKET_BYTES, MIN_BUCKETS, MEMBERS = 2_000_000, 64, 256
-#: Pivots of a large region in its first round, and how many times as many each round takes.
-FIRST_PIVOTS, MORE_PIVOTS = 32, 4
-#: Documents of a large region that one task holds against the region's pivots.
-LARGE_PART = 2000
-#: Bytes of the smallest sketch, and document ids that may be broadcast (8 bytes each) once they are counted.
+#: Bytes of text for which there is one bucket of seeds.
+BUCKET_BYTES, MIN_BUCKETS = 2_000_000, 64
+#: Shingles of a region that one task holds.
+LARGE = 1 << 20
+#: Documents of a region that are compared without pivots, and pivots of a region.
+LEAF, PIVOTS = 12, 8
+#: Cells are worth it while the largest has at most this share of the region, and all together so many times its documents.
+SHRINK, MOST_COPIES = 0.8, 2
+#: Documents of a region that are held against each other by sketches; in larger ones all stay.
+SKETCHED = 4000
+#: Bytes of the smallest sketch, and classes that may be broadcast (16 bytes each) once they are counted.
 SKETCH_LEAST, BROADCAST_IDS = 64, 500_000
 
 
@@ -73,10 +81,10 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed numbers."""
-    a, b = (int(mixed(s ^ np.uint64(c)).sum(dtype=np.uint64)) for c in (0x51ED270B, 0x2545F491))
-    return tuple(x - (1 << 64) if x >> 63 else x for x in (a, b))
+def set_class(s: np.ndarray) -> int:
+    """64 bits of a set, as a signed number: the name of its class."""
+    x = int(mixed(s ^ np.uint64(0x51ED270B)).sum(dtype=np.uint64)) + 0x9E3779B97F4A7C15 * len(s) & (1 << 64) - 1
+    return x - (1 << 64) if x >> 63 else x
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -98,7 +106,7 @@ def folded(x: np.ndarray, size: int) -> np.ndarray:
 
 
 class Sketches:
-    """Sketches of documents side by side, by length, to be held against one pivot at a time."""
+    """Sketches of documents side by side, by length, to be held against one document at a time."""
 
     def __init__(self, sketches: list[bytes], n: np.ndarray):
         self.n = n
@@ -108,9 +116,11 @@ class Sketches:
             rows = np.flatnonzero(self.length == size)
             self.of[size // 8] = (rows, np.frombuffer(b"".join(sketches[i] for i in rows.tolist()), np.uint64).reshape(len(rows), size // 8))
 
-    def may_link(self, e: bytes, n: int) -> np.ndarray:
-        """False only for documents that can't be linked with the pivot: by sizes, or as parities differ by too much."""
+    def may_link(self, e: bytes, n: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """False only for documents that can't be linked with this one: by sizes, or as parities differ by too much."""
         out = 100 * np.minimum(self.n, n) >= PERCENT * np.maximum(self.n, n)
+        if wanted is not None:
+            out &= wanted
         q = np.frombuffer(e, np.uint64)
         for size, (rows, x) in self.of.items():
             near = out[rows]
@@ -126,152 +136,409 @@ def may_link(a: bytes, b: bytes, na: int, nb: int) -> bool:
     return bool(Sketches([a], np.array([na])).may_link(b, nb)[0])
 
 
-def linked(inter: int, a: int, b: int) -> bool:
-    return 100 * inter >= PERCENT * (a + b - inter) and inter > 0
+def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (100 * inter >= PERCENT * (a + b - inter)) & (inter > 0)
+
+
+class Region:
+    """Documents of one region in one task: sets as places in the region's own list of shared shingles."""
+
+    def __init__(self, sets: list[np.ndarray], n: np.ndarray, component: np.ndarray, first: np.ndarray | None = None):
+        """component: documents of one known component have one number. first: pairs of equal numbers are settled."""
+        self.n, self.first = n, first
+        size = np.array([len(s) for s in sets], np.int64)
+        token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.known, place, count = np.unique(token, return_inverse=True, return_counts=True)
+        shared = count[place] > 1  # the others meet nothing here
+        doc = np.repeat(np.arange(len(sets)), size)[shared]
+        self.place = place[shared].astype(np.int32)
+        self.offset = np.append(0, np.cumsum(np.bincount(doc, minlength=len(sets)))).astype(np.int64)
+        self.mark = np.zeros(len(self.known) + 1, bool)
+        _, self.root = np.unique(component, return_inverse=True)
+        self.joined: list[tuple[int, int]] = []
+
+    def distances(self, pivots: np.ndarray, idx: np.ndarray):
+        """For each pivot the linked documents among idx, and all distances."""
+        begin, length = self.offset[idx], self.offset[idx + 1] - self.offset[idx]
+        flat = np.repeat(begin - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
+        place = self.place[flat]
+        edge = np.append(0, np.cumsum(length))
+        for p in pivots.tolist():
+            own = self.place[self.offset[p] : self.offset[p + 1]]
+            self.mark[own] = True
+            total = np.append(0, np.cumsum(self.mark[place], dtype=np.int64))
+            self.mark[own] = False
+            inter = total[edge[1:]] - total[edge[:-1]]
+            yield p, linked(inter, self.n[idx], self.n[p]), 1 - inter / np.maximum(1, self.n[idx] + self.n[p] - inter)
+
+    def join(self, p: int, others: np.ndarray) -> None:
+        """One component of p and the others."""
+        for r in np.unique(self.root[others]).tolist():
+            if r != self.root[p]:
+                self.joined.append((p, int(others[np.flatnonzero(self.root[others] == r)[0]])))
+                self.root[self.root == r] = self.root[p]
+
+    def open_pairs(self, idx: np.ndarray) -> bool:
+        return len(idx) > 1 and bool((self.root[idx] != self.root[idx[0]]).any())
+
+    def exhaust(self, idx: np.ndarray) -> None:
+        """Each document outside the largest component is held against all others."""
+        roots, count = np.unique(self.root[idx], return_counts=True)
+        most = roots[np.argmax(count)]
+        for i in idx[self.root[idx] != most].tolist():
+            near = (self.root[idx] != self.root[i]) & (100 * np.minimum(self.n[idx], self.n[i]) >= PERCENT * np.maximum(self.n[idx], self.n[i]))
+            if self.first is not None:
+                near &= self.first[idx] != self.first[i]
+            if near.any():
+                others = idx[near]
+                for p, close, _ in self.distances(np.array([i]), others):
+                    if close.any():
+                        self.join(p, others[close])
+
+    def search(self, idx: np.ndarray, seed: int = 1) -> None:
+        """All links among idx, by Voronoi cells of a few pivots and cells of cells."""
+        todo = [(idx, seed)]
+        while todo:
+            idx, seed = todo.pop()
+            if not self.open_pairs(idx):
+                continue
+            if len(idx) <= LEAF:
+                self.exhaust(idx)
+                continue
+            rng = np.random.default_rng(seed)
+            pivots = np.sort(rng.choice(idx, PIVOTS, replace=False))
+            d = np.empty((len(pivots), len(idx)))
+            for k, (p, close, far) in enumerate(self.distances(pivots, idx)):
+                d[k] = far
+                if close.any():
+                    self.join(p, idx[close])
+            rest = ~np.isin(idx, pivots)  # a pivot's links are all known
+            idx, d = idx[rest], d[:, rest]
+            cells = voronoi(d)
+            if sum(map(np.sum, cells)) > MOST_COPIES * len(rest) or any(c.sum() > SHRINK * len(rest) for c in cells):
+                self.exhaust(idx)
+            else:
+                todo += [(idx[c], int(rng.integers(1 << 40))) for c in cells]
+
+
+def voronoi(d: np.ndarray) -> list[np.ndarray]:
+    """Members of each pivot's cell, and of the outer cell, from distances (pivots by documents); a mask for each cell."""
+    nearest, least = d.argmin(axis=0), d.min(axis=0)
+    slack = 1e-9
+    cells = []
+    for k in range(len(d)):
+        home = (nearest == k) & (least < OUTER)
+        if home.any():
+            cells.append(home | ((least < OUTER) & (d[k] <= least + 2 * RADIUS + slack) & (d[k] < OUTER + RADIUS + slack) & (d[k] <= d[k][home].max() + RADIUS + slack)))
+    outer = least >= OUTER
+    if outer.any():
+        cells.append(outer | (least >= OUTER - RADIUS - slack))
+    return [c for c in cells if c.sum() > 1]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.col("text").cast("binary").alias("raw")
+    )
 
 
 def _scan(texts: DataFrame) -> DataFrame:
-    """One pass over the texts. kind 0: a = doc_id, b = set size, c and d = signature, e = sketch. kind 1: a = common shingle, b = documents."""
+    """One pass over the texts. kind 0: a = doc_id, b = set size, c = class, row, e = sketch. kind 1: a = common shingle, b = documents."""
 
     def run(batches):
+        lean_memory()
         for batch in (part for whole in batches for part in slices(whole)):
             sets = shingle_sets(batch["raw"].to_pylist())
-            sig = [signature(s) for s in sets]
+            names = [set_class(s) for s in sets]
+            seen, once, e = set(), [], []
+            for k, s in zip(names, sets, strict=True):
+                e.append(sketch(s) if k not in seen else None)
+                if k not in seen:
+                    seen.add(k)
+                    once.append(s)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "kind": pa.array([0] * len(sets), pa.int8()),
-                    "a": batch["doc_id"],
-                    "b": pa.array([len(s) for s in sets], pa.int64()),
-                    "c": pa.array([s[0] for s in sig], pa.int64()),
-                    "d": pa.array([s[1] for s in sig], pa.int64()),
-                    "e": pa.array([sketch(s) for s in sets], pa.binary()),
+                    "kind": pa.array([0] * len(sets), pa.int8()), "a": batch["doc_id"], "b": pa.array([len(s) for s in sets], pa.int64()),
+                    "c": pa.array(names, pa.int64()), "row": batch["row"], "e": pa.array(e, pa.binary()),
                 }
-            )
-            once = list({k: s for k, s in zip(sig, sets, strict=True)}.values())
-            if once:
-                token, n = np.unique(np.concatenate(once), return_counts=True)
-                token, n = token[n >= COMMON_BATCH], n[n >= COMMON_BATCH]
-                zero = np.zeros(len(n), np.int64)
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(zero + 1, pa.int8()), "a": token.view(np.int64), "b": n.astype(np.int64), "c": zero, "d": zero, "e": pa.nulls(len(n), pa.binary())})
+            )
+            token, n = np.unique(np.concatenate(once), return_counts=True)
+            token, n = token[n >= COMMON_BATCH], n[n >= COMMON_BATCH]
+            zero = np.zeros(len(n), np.int64)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(zero + 1, pa.int8()), "a": token.view(np.int64), "b": n.astype(np.int64), "c": zero, "row": zero, "e": pa.nulls(len(n), pa.binary())})
 
-    return texts.mapInArrow(run, "kind tinyint, a long, b long, c long, d long, e binary")
+    return texts.mapInArrow(run, "kind tinyint, a long, b long, c long, row long, e binary")
 
 
 def _seeds(texts: DataFrame, common: list[int], buckets: int) -> DataFrame:
-    """(bucket, packed): each batch's window of shingles, dealt by shingle; packed holds shingles, then documents."""
+    """(bucket, packed): each batch's window of shingles, dealt by shingle; packed holds shingles, then classes.
+
+    A common shingle's classes are dealt by shingle and class, to buckets from `buckets` on, so that no task gets them all.
+    """
     last = np.sort(np.array(common, np.int64).view(np.uint64))
 
     def run(batches):
+        lean_memory()
         for batch in (part for whole in batches for part in slices(whole)):
-            ids = batch["doc_id"].to_pylist()
-            seen, tokens, docs = set(), [], []
-            for i, s in zip(ids, shingle_sets(batch["raw"].to_pylist()), strict=True):
+            seen, tokens, owners, hots = set(), [], [], []
+            for i, s in zip(batch["doc_id"].to_pylist(), shingle_sets(batch["raw"].to_pylist()), strict=True):
                 if not len(s) or i is None:
                     continue
-                sig = signature(s)
-                if sig in seen:
+                k = set_class(s)
+                if k in seen:
                     continue
-                seen.add(sig)
+                seen.add(k)
                 p = len(s) * (100 - PERCENT) // 100 + 1
+                hot = np.zeros(len(s), bool)
                 if len(last):
-                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    hot = last[at] == s
-                    if hot[: p + 1].any():
-                        s = np.concatenate([s[~hot], s[hot]])
+                    hot = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+                    if hot[:p].any():
+                        s, hot = np.concatenate([s[~hot], s[hot]]), np.sort(hot)
                 tokens.append(s[:p])
-                docs.append(np.full(p, i, np.int64))
+                hots.append(hot[:p])
+                owners.append(np.full(p, k, np.int64))
             if not tokens:
                 continue
-            token, doc = np.concatenate(tokens), np.concatenate(docs)
-            bucket = (mixed(token) % np.uint64(buckets)).astype(np.int32)
+            token, owner, hot = np.concatenate(tokens), np.concatenate(owners), np.concatenate(hots)
+            dealt = np.where(hot, mixed(token + mixed(owner.view(np.uint64))), mixed(token))
+            bucket = (dealt % np.uint64(buckets)).astype(np.int32) + np.where(hot, buckets, 0).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            bucket, token, doc = bucket[order], token[order], doc[order]
+            bucket, token, owner = bucket[order], token[order], owner[order]
             edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            blobs = [token[x:y].tobytes() + doc[x:y].tobytes() for x, y in zip(edge, [*edge[1:], len(bucket)], strict=True)]
+            blobs = [token[x:y].tobytes() + owner[x:y].tobytes() for x, y in zip(edge, [*edge[1:], len(bucket)], strict=True)]
             yield pa.RecordBatch.from_pydict({"bucket": bucket[edge], "packed": pa.array(blobs, pa.binary())})
 
     return texts.mapInArrow(run, "bucket int, packed binary")
 
 
-def _regions(table: pa.Table) -> pa.Table:
-    """One bucket: the documents of each shingle that two or more have, and a hash of that list."""
-    parts = [np.frombuffer(x, np.uint64) for x in table["packed"].to_pylist()]
-    token = np.concatenate([x[: len(x) // 2] for x in parts])
-    doc = np.concatenate([x[len(x) // 2 :] for x in parts]).view(np.int64)
-    order = np.lexsort((doc, token))
-    token, doc = token[order], doc[order]
-    again = np.zeros(len(token), bool)
-    again[1:] = (token[1:] == token[:-1]) & (doc[1:] == doc[:-1])  # the same document from two batches
-    token, doc = token[~again], doc[~again]
-    edge = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, int)
-    size = np.diff([*edge, len(token)])
-    spread = mixed(doc.view(np.uint64) + np.uint64(1))
-    region = np.add.reduceat(spread, edge) if len(edge) else spread
-    keep = size >= 2
-    _, first = np.unique(region[keep], return_index=True)
-    begin, length, region = edge[keep][first], size[keep][first], region[keep][first]
-    offsets = np.append(0, np.cumsum(length)).astype(np.int32)
-    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], length) + np.repeat(begin, length)
-    return pa.table({"region": region.view(np.int64), "docs": pa.ListArray.from_arrays(pa.array(offsets), pa.array(doc[at], pa.int64()))})
-
-
-def within_reach(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (p, x) that sizes and sketches leave open. sketches: rep, n, e."""
-    name = lambda c: sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("e").alias(f"e{c}"))
-    both = pairs.select("p", "x").join(name("p"), "p").join(name("x"), "x")
-    both = both.where(100 * F.least("np", "nx") >= PERCENT * F.greatest("np", "nx"))
+def _regions(buckets: int):
+    """One bucket: the classes of each shingle that two or more have, and a hash of that list; or of a common shingle, those dealt to this bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint64) for x in table["packed"].to_pylist()]
+        bucket = table["bucket"][0].as_py()
+        token = np.concatenate([x[: len(x) // 2] for x in parts])
+        doc = np.concatenate([x[len(x) // 2 :] for x in parts]).view(np.int64)
+        order = np.lexsort((doc, token))
+        token, doc = token[order], doc[order]
+        again = np.zeros(len(token), bool)
+        again[1:] = (token[1:] == token[:-1]) & (doc[1:] == doc[:-1])  # the same class from two batches
+        token, doc = token[~again], doc[~again]
+        edge = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, int)
+        size = np.diff([*edge, len(token)])
+        if bucket >= buckets:
+            begin, length, region = edge, size, token[edge]
+        else:
+            region = np.add.reduceat(mixed(doc.view(np.uint64) + np.uint64(1)), edge) if len(edge) else token
+            keep = size >= 2
+            _, first = np.unique(region[keep], return_index=True)
+            begin, length, region = edge[keep][first], size[keep][first], region[keep][first]
+        offsets = np.append(0, np.cumsum(length)).astype(np.int32)
+        at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], length) + np.repeat(begin, length)
+        part = np.full(len(region), bucket if bucket >= buckets else 0, np.int32)
+        return pa.table({"region": region.view(np.int64), "part": part, "docs": pa.ListArray.from_arrays(pa.array(offsets), pa.array(doc[at], pa.int64()))})
+
+    return run
+
+
+def _near(rows: DataFrame) -> DataFrame:
+    """The rows whose sizes and sketches leave a link open to another one of the region. rows: region, doc, n, component, first, e, whole."""
 
     def run(batches):
-        for b in batches:
-            rows = zip(*(b[c].to_pylist() for c in ("ep", "ex", "np", "nx")), strict=True)
-            keep = pa.array([may_link(*r) for r in rows], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b["p"], b["x"]], ["p", "x"]).filter(keep)
+        lean_memory()
+        for table, edge in key_runs(batches, ["region"]):
+            n, comp, first = (table[c].to_numpy(zero_copy_only=False) for c in ("n", "component", "first"))
+            keep = np.zeros(len(n), bool)
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if b - a > 1:
+                    own = table["e"][a:b].to_pylist()
+                    if b - a == 2:
+                        if comp[a] != comp[a + 1] and first[a] != first[a + 1]:
+                            keep[a:b] = may_link(own[0], own[1], int(n[a]), int(n[a + 1]))
+                        continue
+                    side = Sketches(own, n[a:b])
+                    for i in range(b - a):
+                        if not keep[a + i]:
+                            found = side.may_link(own[i], int(n[a + i]), (comp[a:b] != comp[a + i]) & (first[a:b] != first[a + i]))
+                            if found.any():
+                                keep[a + i] = True
+                                keep[a:b] |= found
+            yield from table.select(["region", "doc", "n"]).filter(pa.array(keep)).to_batches()
 
-    return both.mapInArrow(run, "p long, x long")
+    dealt = rows.where("not whole").select("region", "doc", "n", "component", "first", "e").repartition("region").sortWithinPartitions("region")
+    return dealt.mapInArrow(run, "region long, doc long, n long").unionByName(rows.where("whole").select("region", "doc", "n"))
 
 
-def measure(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact distances of distinct staged pairs (p, x): p, x, distance. A pivot of many members is copied, once for MEMBERS of them."""
-    ids = stage(pairs.select(F.explode(F.array("p", "x")).alias("doc_id")).distinct(), "jaccard-ids")
-    if ids.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    deg = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("copies"))
-    dealt = pairs.join(deg, "p").select("p", F.pmod(F.xxhash64("x"), F.col("copies")).alias("copy"), F.col("x").alias("doc_id"))
-    both = dealt.select("p", "copy", "doc_id", F.lit(1).alias("member")).unionByName(dealt.select("p", "copy").distinct().select("p", "copy", F.col("p").alias("doc_id"), F.lit(0).alias("member")))
-    rows = both.join(texts, "doc_id").repartition("p", "copy").sortWithinPartitions("p", "copy", "member")
+def _sets(texts: DataFrame, wanted: DataFrame, own: DataFrame) -> DataFrame:
+    """(doc, set) of the wanted classes, one row each, staged; a set is 8 bytes a shingle."""
+    carriers = stage(own.join(wanted, "doc").select("least.doc_id", "least.row"), "jaccard-carriers")
+    side = F.broadcast(carriers) if carriers.count() <= BROADCAST_IDS else carriers
+    picked = texts.join(side, ["doc_id", "row"], "left_semi").select("raw")
 
     def run(batches):
-        key, pivots = None, []
-        for b in batches:
-            ps, cs, ms, xs = (b[c].to_pylist() for c in ("p", "copy", "member", "doc_id"))
-            out = {"p": [], "x": [], "distance": []}
-            for p, c, m, x, s in zip(ps, cs, ms, xs, shingle_sets(b["raw"].to_pylist()), strict=True):
-                if (p, c) != key:
-                    key, pivots = (p, c), []
-                if not m:
-                    pivots.append(s)
-                    continue
-                best = 1.0
-                for own in pivots:
-                    small, large = (s, own) if len(s) <= len(own) else (own, s)
-                    if not len(small):
-                        continue
-                    inter = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                    d = 1 - inter / (len(s) + len(own) - inter)
-                    best = min(best, RADIUS if linked(inter, len(s), len(own)) and d > RADIUS else d)
-                    if d <= RADIUS and not linked(inter, len(s), len(own)):
-                        best = max(best, RADIUS + 1e-12)
-                out["p"].append(p)
-                out["x"].append(x)
-                out["distance"].append(best)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("p", pa.int64()), ("x", pa.int64()), ("distance", pa.float64())]))
+        lean_memory()
+        for batch in (part for whole in batches for part in slices(whole)):
+            found = {}
+            for s in shingle_sets(batch["raw"].to_pylist()):
+                found[set_class(s)] = s.tobytes()
+            yield pa.RecordBatch.from_pydict({"doc": pa.array(list(found), pa.int64()), "set": pa.array(list(found.values()), pa.binary())})
+
+    return stage(picked.mapInArrow(run, "doc long, set binary").groupBy("doc").agg(F.first("set").alias("set")), "jaccard-sets")
+
+
+def _unpacked(column) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+_LINKS = "a long, b long"
+
 
-    found = rows.select("p", "copy", "member", "doc_id", "raw").mapInArrow(run, "p long, x long, distance double")
-    return found.groupBy("p", "x").agg(F.min("distance").alias("distance"))
+def _in_tasks(rows: DataFrame) -> DataFrame:
+    """Links (a, b) inside regions up to LARGE shingles. rows: region, doc, n, component, first, set."""
+
+    def run(batches):
+        lean_memory()
+        for table, edge in key_runs(batches, ["region"]):
+            doc, n, comp, first = (table[c].to_numpy(zero_copy_only=False) for c in ("doc", "n", "component", "first"))
+            a_out, b_out = [], []
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if b - a > 1 and (comp[a:b] != comp[a]).any():
+                    own = Region(_unpacked(table["set"][a:b]), n[a:b], comp[a:b], first[a:b])
+                    own.search(np.arange(b - a))
+                    a_out += [int(doc[a + x]) for x, _ in own.joined]
+                    b_out += [int(doc[a + y]) for _, y in own.joined]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    return rows.select("region", "doc", "n", "component", "first", "set").repartition("region").sortWithinPartitions("region").mapInArrow(run, _LINKS)
+
+
+def _against(members: DataFrame, askers: DataFrame, cells: bool) -> DataFrame:
+    """Each part of a region against its askers: links (kind 0: a, b) and, on demand, cells (kind 1: a = document, b = pivot or null for the outer cell).
+
+    Both: region, part, doc, n, component, set.
+    """
+    columns = ["region", "part", "doc", "n", "component", "set"]
+    both = askers.select(*columns, F.lit(0).alias("side")).unionByName(members.select(*columns, F.lit(1).alias("side")))
+
+    def run(batches):
+        lean_memory()
+        for table, edge in key_runs(batches, ["region", "part"]):
+            region, doc, n, comp, side = (table[c].to_numpy(zero_copy_only=False) for c in ("region", "doc", "n", "component", "side"))
+            out = {"kind": [], "region": [], "a": [], "b": []}
+
+            def put(kind, where, a, b):
+                for c, v in zip(out, (np.full(len(a), kind), np.full(len(a), where), a, np.full(len(a), b)), strict=True):
+                    out[c].append(v)
+
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                own = Region(_unpacked(table["set"][a:b]), n[a:b], comp[a:b])
+                pivots, idx = np.flatnonzero(side[a:b] == 0), np.flatnonzero(side[a:b] == 1)
+                if not len(pivots) or not len(idx):
+                    continue
+                d = np.empty((len(pivots) if cells else 1, len(idx)))
+                for k, (p, close, far) in enumerate(own.distances(pivots, idx)):
+                    if cells:
+                        d[k] = far
+                    close = close & (comp[a + idx] != comp[a + p])
+                    put(0, region[a], doc[a + idx[close]], doc[a + p])
+                if cells:
+                    nearest, least = d.argmin(axis=0), d.min(axis=0)
+                    for k, p in enumerate(pivots.tolist()):
+                        inner = (least < OUTER) & ((nearest == k) | ((d[k] <= least + 2 * RADIUS + 1e-9) & (d[k] < OUTER + RADIUS + 1e-9)))
+                        inner &= ~np.isin(doc[a + idx], doc[a + pivots])
+                        put(1, region[a], doc[a + idx[inner]], doc[a + p])
+                    border = (least >= OUTER - RADIUS - 1e-9) & ~np.isin(doc[a + idx], doc[a + pivots])
+                    put(2, region[a], doc[a + idx[border]], 0)
+            done = {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()}
+            yield pa.RecordBatch.from_pydict({c: pa.array(v.astype(np.int64), pa.int64()) for c, v in done.items()})
+
+    dealt = both.repartition("region", "part").sortWithinPartitions("region", "part", "side")
+    return dealt.mapInArrow(run, "kind long, region long, a long, b long")
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """(region, m, total): documents and shingles of each region."""
+    return rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+
+
+class Classes:
+    """Components of classes so far: rows (node, component), staged; classes without links aren't listed."""
+
+    def __init__(self):
+        self.known: DataFrame | None = None
+
+    def add(self, links: DataFrame) -> None:
+        links = stage(links, "jaccard-links")
+        if links.limit(1).count():
+            self.known = _join_classes(links, self.known)
+        else:
+            unstage(links)
+
+    def beside(self, rows: DataFrame) -> DataFrame:
+        rows = rows.drop("component")
+        if self.known is None:
+            return rows.withColumn("component", F.col("doc"))
+        return rows.join(self.known, rows["doc"] == self.known["node"], "left").select(*rows.columns, F.coalesce("component", "doc").alias("component"))
+
+    def still_open(self, rows: DataFrame, total: int) -> DataFrame:
+        """The rows, with components, of regions that hold several."""
+        rows = stage(self.beside(rows), "jaccard-open")
+        several = rows.groupBy("region").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m"))
+        return attach_skewed(rows, stage(several.where("c0 <> c1").select("region", "m"), "jaccard-several"), ["region"], "m", total, "inner")
+
+
+def _link_regions(rows: DataFrame, sets: DataFrame, classes: Classes, total: int) -> None:
+    """All links inside the regions go to `classes`. rows: region, doc, n, component, first; staged."""
+    size = stage(_measured(rows).where("m > 1").withColumn("large", F.col("total") > LARGE), "jaccard-sizes")
+    rows = stage(attach_skewed(rows, size.select("region", "large", "m", "total", F.col("m").alias("w")), ["region"], "w", total, "inner"), "jaccard-sized")
+    classes.add(_in_tasks(rows.where("not large").join(sets, "doc")))
+    large, seed = rows.where("large").select("region", "doc", "n", "m", "total"), 0
+    while large.limit(1).count():
+        seed += 1
+        now = stage(classes.beside(large).join(sets, "doc"), "jaccard-large")
+        unstage(large) if seed > 1 else None
+        # pivots by a hash that every round draws anew, one at least
+        draw = F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(1 << 30))
+        one = now.groupBy("region").agg(F.min(F.struct(draw, "doc")).alias("f")).select("region", F.col("f.doc").alias("f"))
+        split = now.join(F.broadcast(one) if one.count() <= BROADCAST_IDS else one, "region").withColumn("parts", F.ceil(F.col("total") / LARGE).cast("int"))
+        split = split.withColumn("part", F.pmod(F.xxhash64("doc", F.lit(-1)), F.col("parts")).cast("int"))
+        pivots = split.where((F.col("doc") == F.col("f")) | (draw / float(1 << 30) * F.col("m") < PIVOTS))
+        found = stage(_against(split, pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), True), "jaccard-cells")
+        classes.add(found.where("kind = 0").select("a", "b").distinct())
+        # the cells of a region, or the region itself where they aren't smaller
+        cells = found.where("kind > 0").select("region", F.xxhash64("region", "kind", "b", F.lit(seed)).alias("cell"), F.col("a").alias("doc"))
+        fate = cells.groupBy("region", "cell").agg(F.count(F.lit(1)).alias("k")).groupBy("region").agg(F.sum("k").alias("all"), F.max("k").alias("most"))
+        split = now.join(fate, "region").withColumn("stuck", (F.col("all") > MOST_COPIES * F.col("m")) | (F.col("most") > SHRINK * F.col("m")))
+        split = stage(split.select("region", "doc", "n", "total", "set", "stuck"), "jaccard-fate")
+        unstage(now)
+        _exhaust(split.where("stuck"), classes)
+        cells = cells.join(split.where("not stuck").select("region", "doc", "n"), ["region", "doc"]).select(F.col("cell").alias("region"), "doc", "n")
+        cells = stage(classes.still_open(cells, MOST_COPIES * total), "jaccard-cells")
+        size = stage(_measured(cells).withColumn("w", F.col("m")), "jaccard-sizes")
+        cells = stage(attach_skewed(cells, size, ["region"], "w", MOST_COPIES * total, "inner"), "jaccard-cells")
+        small = cells.where(F.col("total") <= LARGE).withColumn("first", F.xxhash64("region", "doc"))
+        classes.add(_in_tasks(small.join(sets, "doc")))
+        large = stage(cells.where(F.col("total") > LARGE).select("region", "doc", "n", "m", "total"), "jaccard-large")
+
+
+def _exhaust(rows: DataFrame, classes: Classes) -> None:
+    """Every document outside its region's largest component against all others, part by part. rows: region, doc, n, total, set; staged."""
+    if not rows.limit(1).count():
+        return
+    rows = stage(classes.beside(rows), "jaccard-stuck")
+    top = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("region").agg(F.max(F.struct("k", "component")).alias("t"))
+    rows = rows.join(top.select("region", F.col("t.component").alias("top")), "region")
+    parts = F.ceil(F.col("total") / LARGE).cast("int")
+    minors = rows.where("component <> top")
+    few = minors.groupBy("region").agg(F.ceil(F.sum("n") / LARGE).cast("int").alias("chunks"))
+    name = lambda p, c: F.struct(p.cast("int"), c.cast("int"))
+    members = rows.join(few, "region").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    members = members.withColumn("part", name(F.pmod(F.xxhash64("doc", F.lit(-1)), parts), F.col("chunk")))
+    askers = minors.join(few, "region").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    askers = askers.withColumn("part", name(F.col("part"), F.pmod(F.xxhash64("doc", F.lit(-2)), F.col("chunks"))))
+    number = lambda df: df.withColumn("part", F.xxhash64("part"))
+    found = _against(number(members), number(askers), False)
+    classes.add(found.where("kind = 0").select("a", "b").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -287,6 +554,7 @@ def components(edges: DataFrame) -> DataFrame:
         unstage(labels)
         labels = new.select("node", "component")
         if not changed:
+            unstage(both)
             return labels
 
 
@@ -304,108 +572,75 @@ def _join_classes(links: DataFrame, known: DataFrame | None) -> DataFrame:
     return stage(every.join(merged, every["component"] == merged["node"], "left").select(every["node"], F.coalesce("top", "component").alias("component")), "cc-classes")
 
 
-def _candidates(rows: pa.Table, pivots: pa.Table, both: bool) -> pa.Table:
-    """Pairs (pivot, document) of one region that stay open: other components, sizes, sketches and windows within reach.
-
-    With `both`, rows and pivots are the same documents, and each pair comes once.
-    """
-    doc, n, comp, d = (rows[c].to_numpy(zero_copy_only=False) for c in ("doc", "n", "component", "distance"))
-    own = Sketches(rows["e"].to_pylist(), n)
-    ps, xs = [], []
-    for p, pn, pc, pd, pe in zip(*(pivots[c].to_pylist() for c in ("doc", "n", "component", "distance", "e")), strict=True):
-        if pd == 0:
-            continue  # the first pivot
-        near = (comp != pc) & ~(np.abs(d - (np.nan if pd is None else pd)) > RADIUS + 1e-9) & ~(d == 0)  # an unknown distance is NaN
-        if both:
-            near &= doc > p
-        if near.any():
-            near &= own.may_link(pe, pn)
-            x = doc[near]
-            ps.append(np.full(len(x), p, np.int64))
-            xs.append(x)
-    cat = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64())
-    return pa.table({"p": cat(ps), "x": cat(xs)})
-
-
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, classes): nodes has doc_id, n_shingles and rep (the smallest doc_id with the same set), one row a document;
-    classes has node (a rep) and component, for reps with links to others."""
+    """(nodes, answers): nodes has doc_id, row, n_shingles and class c, one row a document; answers has c, component_id
+    (the smallest doc_id of all classes linked with c), part (a number of that component) and w (its rows), for classes of several rows or with links."""
     texts = _texts(docs)
     scan = stage(_scan(texts), "jaccard-scan")
-    nodes = scan.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "c", "d", "e")
-    reps = nodes.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "c", "d").agg(F.min("doc_id").alias("rep"))
-    nodes = nodes.join(reps, ["n_shingles", "c", "d"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "e")
-    nodes = stage(nodes, "jaccard-nodes")
-    sketches = nodes.where("doc_id = rep").groupBy("rep").agg(F.max("n_shingles").alias("n"), F.first("e").alias("e"))
+    nodes = scan.where("kind = 0").select(F.col("a").alias("doc_id"), "row", F.col("b").alias("n_shingles"), "c", "e")
+    named = nodes.where("n_shingles > 0 and doc_id is not null")
+    # classes; the sketch stands beside a batch's first row of a class
+    first = F.min(F.struct("doc_id", "row")).alias("least")
+    own = stage(named.groupBy(F.col("c").alias("doc")).agg(F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), first), "jaccard-own")
+    sketches = scan.where("kind = 0 and e is not null").groupBy(F.col("c").alias("doc")).agg(F.first("e").alias("e"))
     found = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= COMMON_TOTAL)
     common = [r["a"] for r in found.orderBy(F.desc("n"), "a").limit(COMMON_KEPT).collect()]
-    size = texts.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    seeds = _seeds(texts, common, int(max(MIN_BUCKETS, size // BUCKET_BYTES)))
-    lists = seeds.groupBy("bucket").applyInArrow(_regions, "region long, docs array<long>")
-    lists = lists.groupBy("region").agg(F.first("docs").alias("docs"))
-    # sizes and representatives; copies are one member
-    own = nodes.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.min("rep").alias("rep"))
-    members = stage(lists.select("region", F.explode("docs").alias("doc_id")), "jaccard-lists")
-    members = members.join(own, "doc_id").groupBy("region", F.col("rep").alias("doc")).agg(F.max("n").alias("n"))
-    members = stage(members, "jaccard-members")
+    size = texts.agg(F.sum(F.octet_length("raw")), F.count(F.lit(1))).first()
+    buckets = int(max(MIN_BUCKETS, (size[0] or 0) // BUCKET_BYTES))
+    lists = _seeds(texts, common, buckets).groupBy("bucket").applyInArrow(_regions(buckets), "region long, part int, docs array<long>")
+    lists = lists.groupBy("region", "part").agg(F.first("docs").alias("docs"))
+    members = stage(lists.select("region", F.explode("docs").alias("doc")), "jaccard-lists")
+    total = members.count()
+    # regions that hold the same documents are one
     counted = members.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("p"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("same"))
-    # regions that now hold the same documents are one
-    counted = counted.where("m > 1").groupBy("m", "p", "same").agg(F.min("region").alias("region"))
-    regions = stage(members.join(counted.select("region", "m", "p"), "region"), "jaccard-regions")
-
-    pairs = stage(within_reach(regions.where("doc <> p").select("p", F.col("doc").alias("x")).distinct(), sketches), "jaccard-pairs")
-    measured = stage(measure(texts, pairs), "jaccard-distances")
-    close = measured.where(F.col("distance") <= RADIUS).select(F.col("p").alias("a"), F.col("x").alias("b"))
-    known = _join_classes(close, None)
-
-    # recursion: open regions hold several components
-    def with_class(rows: DataFrame) -> DataFrame:
-        return rows.join(known, rows["doc"] == known["node"], "left").select(*rows.columns, F.coalesce("component", "doc").alias("component"))
-
-    def still_open(rows: DataFrame) -> DataFrame:
-        rows = with_class(rows)
-        several = rows.groupBy("region").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("region")
-        return rows.join(several, "region")
-
-    rest = regions.where("m > 2")
-    rest = rest.join(measured.select("p", F.col("x").alias("doc"), "distance"), ["p", "doc"], "left")
-    # the pivot is at 0; where sizes or sketches already said no, the distance is not known and opens every window
-    rest = rest.select("region", "m", "doc", "n", F.when(F.col("doc") == F.col("p"), 0.0).otherwise(F.col("distance")).alias("distance"))
-    opened = stage(still_open(rest), "jaccard-open")
-    with_sketch = lambda rows: rows.join(sketches.select(F.col("rep").alias("doc"), "e"), "doc")
-    small = with_sketch(opened.where(F.col("m") <= SMALL)).groupBy("region").applyInArrow(lambda t: _candidates(t, t, True), "p long, x long")
-    fresh = stage(small.distinct().join(measured, ["p", "x"], "left_anti"), "jaccard-pairs")
-    more = stage(measure(texts, fresh).where(F.col("distance") <= RADIUS).select(F.col("p").alias("a"), F.col("x").alias("b")), "jaccard-links")
-    known = _join_classes(more, known)
-
-    large, pivots = stage(opened.where((F.col("m") > SMALL) & ~F.col("distance").eqNullSafe(0.0)).select("region", "doc", "n", "distance"), "jaccard-large"), FIRST_PIVOTS
-    while large.limit(1).count():
-        now = stage(still_open(large), "jaccard-large")
-        if not now.limit(1).count():
-            break
-        # the pivots of this round: in each region about so many, by a hash that every round draws anew
-        total = now.groupBy("region").agg(F.count(F.lit(1)).alias("m"))
-        draw = F.pmod(F.xxhash64("doc", F.lit(pivots)), F.lit(1 << 30)) / float(1 << 30)
-        first = now.groupBy("region").agg(F.min(F.struct(F.xxhash64("doc", F.lit(pivots)), "doc")).alias("f")).select("region", F.col("f.doc").alias("f"))
-        drawn = now.join(total, "region").join(first, "region").withColumn("is_pivot", (F.col("doc") == F.col("f")) | (draw * F.col("m") < pivots))
-        drawn = stage(with_sketch(drawn.withColumn("copies", F.ceil(F.col("m") / LARGE_PART).cast("int")).drop("f", "m")), "jaccard-drawn")
-        # a region is dealt in parts, and its pivots go to each
-        part = drawn.withColumn("part", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("copies")).cast("int"))
-        q = drawn.where("is_pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-        columns = ["region", "part", "doc", "n", "component", "distance", "e"]
-        pairs = part.select(columns).groupBy("region", "part").cogroup(q.select(columns).groupBy("region", "part"))
-        pairs = stage(pairs.applyInArrow(lambda rows, own: _candidates(rows, own, False), "p long, x long").distinct(), "jaccard-pairs")
-        found = stage(measure(texts, pairs).where(F.col("distance") <= RADIUS).select(F.col("p").alias("a"), F.col("x").alias("b")), "jaccard-links")
-        known = _join_classes(found, known)
-        large = stage(drawn.where("not is_pivot").select("region", "doc", "n", "distance"), "jaccard-large")
-        pivots *= MORE_PIVOTS
-    return nodes, known
+    counted = stage(counted.where("m > 1").groupBy("m", "p", "same").agg(F.min("region").alias("region")).select("region", "m", F.col("m").alias("w")), "jaccard-counted")
+    state = Classes()
+    if counted.limit(1).count():
+        rows = attach_skewed(members, counted, ["region"], "w", total, "inner")
+        rows = stage(rows.join(own.select("doc", "n").join(sketches, "doc"), "doc"), "jaccard-members")
+        unstage(members)
+        whole = F.col("m") > SKETCHED
+        kept = _near(rows.select("region", "doc", "n", F.col("doc").alias("component"), F.col("doc").alias("first"), "e", whole.alias("whole")))
+        kept = stage(kept, "jaccard-near")
+        unstage(rows)
+        sizes = stage(_measured(kept).select("region", "m", F.col("m").alias("w")), "jaccard-sizes")
+        kept = stage(attach_skewed(kept, sizes, ["region"], "w", total, "inner"), "jaccard-near")
+        # the first pass: each document in its largest region
+        home = kept.groupBy("doc").agg(F.max(F.struct("m", "region")).alias("h")).select("doc", F.col("h.region").alias("home"))
+        kept = stage(kept.join(home, "doc"), "jaccard-near")
+        sets = _sets(texts, kept.select("doc").distinct(), own)
+        at_home = kept.where("region = home").select("region", "doc", "n", F.col("doc").alias("component"), F.col("doc").alias("first"))
+        _link_regions(stage(at_home, "jaccard-home"), sets, state, total)
+        # the second: pairs of different first regions, where they may still be linked
+        rest = state.still_open(kept.select("region", "doc", "n", F.col("home").alias("first"), (F.col("m") > SKETCHED).alias("whole")), total)
+        rest = stage(rest.join(sketches, "doc"), "jaccard-rest")
+        again = _near(rest).join(home, "doc").withColumnRenamed("home", "first")
+        _link_regions(stage(state.beside(again), "jaccard-again"), sets, state, total)
+    if state.known is None:
+        answers = own.where("copies > 1").select(F.col("doc").alias("c"), F.col("least.doc_id").alias("component_id"), F.col("doc").alias("part"), F.col("copies").alias("w"))
+    else:
+        joined = own.join(state.known, own["doc"] == state.known["node"], "left").select("doc", "copies", F.col("least.doc_id").alias("least"), F.coalesce("component", "doc").alias("part"), F.col("component").isNotNull().alias("tied"))
+        joined = stage(joined.where("tied or copies > 1"), "jaccard-answers")
+        part = joined.where("tied").groupBy("part").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("w"))
+        tied = attach_skewed(joined.where("tied"), stage(part, "jaccard-parts"), ["part"], "w", total, "inner")
+        alone = joined.where("not tied").withColumn("component_id", F.col("least"))
+        answers = tied.unionByName(alone.select(*tied.columns)).select(F.col("doc").alias("c"), "component_id", "part", F.col("copies").alias("w"))
+    return nodes.select("doc_id", "row", "n_shingles", "c"), stage(answers, "jaccard-classes")
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, part (a number of the component, null for documents alone)."""
+    nodes, answers = classes(docs)
+    takes_part = F.col("n_shingles").cast("boolean") & F.col("doc_id").isNotNull()
+    joined = attach_skewed(nodes.where(takes_part), answers, ["c"], "w", nodes.count(), "left")
+    joined = joined.select("doc_id", "row", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("part", "c").alias("part"))
+    rest = nodes.where(~F.coalesce(takes_part, F.lit(False))).select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("part"))
+    return joined.unionByName(rest)
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id."""
-    nodes, known = classes(docs)
-    return nodes.join(known, nodes["rep"] == known["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    return _components(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_jaccard(spark, sf_dir) -> DataFrame:
@@ -413,7 +648,16 @@ def op4_jaccard(spark, sf_dir) -> DataFrame:
 
 
 def near_duplicates_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one whose doc_id names the component; a row that repeats stays once."""
-    keep = jaccard_join(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group, the one whose doc_id names the component; a row that repeats stays once.
+
+    Of several texts with that doc_id in one group, the one of the smallest row hash stays; a doc_id whose texts are in
+    different groups stays in each. Documents without words stay, repeated rows once; null doc_ids all stay.
+    """
+    found = _components(docs).where(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id")))
+    grouped = found.where("part is not null").groupBy("part").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("r.doc_id", "r.row")
+    keep = grouped.unionByName(found.where("part is null").select("doc_id", "row")).distinct()
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(*names, F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("__row"))
+    keep = keep.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
+    once = marked.where(F.col("doc_id").isNotNull()).join(keep, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"]).select(*names)
+    return once.unionByName(docs.where(F.col("doc_id").isNull()))

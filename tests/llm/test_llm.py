@@ -71,12 +71,51 @@ def test_jaccard_is_exact(docs):
 
 
 def test_jaccard_large_regions(docs, monkeypatch):
-    """The rounds of large regions give what the small regions' one round gives."""
+    """Rounds over the whole table, broadcasts of hot keys and common shingles change the way, not the result."""
     want = {tuple(r) for r in jaccard.jaccard_join(docs).collect()}
-    monkeypatch.setattr(jaccard, "SMALL", 3)
-    monkeypatch.setattr(jaccard, "LARGE_PART", 16)
-    monkeypatch.setattr(jaccard, "MEMBERS", 7)
-    assert {tuple(r) for r in jaccard.jaccard_join(docs).collect()} == want
+    for limits in ({"LARGE": 2500, "SKETCHED": 5, "MOST_COPIES": 0}, {"COMMON_TOTAL": 1, "COMMON_BATCH": 1, "LARGE": 3000, "MOST_COPIES": 50, "SHRINK": 0.97}):
+        with monkeypatch.context() as m:
+            for k, v in limits.items():
+                m.setattr(jaccard, k, v)
+            assert {tuple(r) for r in jaccard.jaccard_join(docs).collect()} == want, limits
+
+
+def test_region_finds_all_links():
+    """Cells, cells of cells and the exhaustive way against all pairs, on families of several widths."""
+    rng = np.random.default_rng(5)
+    for width, extra in ((0.02, 0), (0.15, 10), (0.3, 60), (0.9, 30)):
+        sets = []
+        for _ in range(6):
+            base = rng.integers(0, 1 << 63, 160, dtype=np.uint64)
+            for _ in range(30):
+                own = base.copy()
+                hit = rng.random(160) < width * rng.random()
+                own[hit] = rng.integers(0, 1 << 63, hit.sum(), dtype=np.uint64)
+                sets.append(np.unique(np.concatenate([own, rng.integers(0, 1 << 63, rng.integers(0, extra + 1), dtype=np.uint64)])))
+        n = np.array([len(s) for s in sets])
+        want = np.arange(len(sets))
+        for i in range(len(sets)):
+            for j in range(i):
+                if jaccard.linked(len(np.intersect1d(sets[i], sets[j])), n[i], n[j]):
+                    want[want == want[i]] = want[j]
+        region = jaccard.Region(sets, n, np.arange(len(sets)), np.arange(len(sets)))
+        region.search(np.arange(len(sets)))
+        pairs = {(min(a, b), max(a, b)) for a in range(len(sets)) for b in range(len(sets)) if region.root[a] == region.root[b]}
+        assert pairs == {(min(a, b), max(a, b)) for a in range(len(sets)) for b in range(len(sets)) if want[a] == want[b]}
+        assert len(region.joined) == len(sets) - len(set(want.tolist()))
+
+
+def test_jaccard_of_odd_rows(spark):
+    """Copies of a hot set, one doc_id with two texts, null ids, columns named like those of the result."""
+    a, b = "a b c d e f g h i j k l", "p q r s t u v w x y z"
+    rows = [(i, a) for i in range(20, 60)] + [(7, b), (7, "completely other text of seven words"), (9, b), (None, a), (None, None), (3, None), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id long, text string, component_id int, part int, region string")
+    got = collections.Counter((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_join(docs).collect())
+    assert got == collections.Counter([(i, 20) for i in range(20, 60)] + [(7, 7), (7, 7), (9, 7), (None, None), (None, None), (3, 3), (3, 3), (4, 4)])
+    kept = jaccard.near_duplicates_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    left = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert left == sorted([(20, a), (7, b), (7, rows[41][1]), (3, None), (4, ""), (None, a), (None, None)], key=str)
 
 
 def test_sketch_keeps_linked_pairs():

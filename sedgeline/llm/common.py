@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -52,6 +53,12 @@ def unstage(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cluster delete the shuffle files of tables that are staged by now: it does so as the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def attach(df: DataFrame, side: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
     """Left-join a table with one row for each key (nulls match nulls).
 

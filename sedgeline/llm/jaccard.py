@@ -16,8 +16,8 @@ with it, and two documents whose distances to it differ by more than RADIUS can'
    smaller (all documents about equally far from each other) is finished by taking each document outside its largest
    component as a pivot. Cells up to LARGE shingles are one task's work; larger ones are split by rounds over the whole table.
 
-Each document is first compared in one region only, its largest; what is still open then (regions of several components,
-pairs of different first regions) is compared in a second pass. Copies of one set are one class. Only links leave a task:
+Each document is compared in one region first, its largest, and so on for PASSES passes; what is still open then (regions
+of several components, pairs that had no region in common so far) is compared in a last pass over all regions. Copies of one set are one class. Only links leave a task:
 one for each document that joins a component there. Links and components stay in tables; components come from label
 spreading with pointer jumps.
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_skewed, documents, key_runs, lean_memory, slices, stage, unstage
+from .common import attach_skewed, documents, key_runs, lean_memory, release, slices, stage, unstage
 from .wordhash import mixed, windows, words
 
 GRAM = 5
@@ -43,7 +43,7 @@ RADIUS = 1 - PERCENT / 100
 #: Distance from every pivot beyond which a document belongs to the outer cell.
 OUTER = 1 - RADIUS
 #: Shingles in so many documents of one batch, and of all batches together, come last in the order; at most so many.
-COMMON_BATCH, COMMON_TOTAL, COMMON_KEPT = 3, 48, 200_000
+COMMON_BATCH, COMMON_TOTAL, COMMON_KEPT = 2, 8, 200_000
 #: Bytes of text for which there is one bucket of seeds.
 BUCKET_BYTES, MIN_BUCKETS = 2_000_000, 64
 #: Shingles of a region that one task holds.
@@ -52,6 +52,8 @@ LARGE = 1 << 20
 LEAF, PIVOTS = 12, 8
 #: Cells are worth it while the largest has at most this share of the region, and all together so many times its documents.
 SHRINK, MOST_COPIES = 0.8, 2
+#: Passes in which each document is compared in one region only, before the last pass over all that is left.
+PASSES = 3
 #: Documents of a region that are held against each other by sketches; in larger ones all stay.
 SKETCHED = 4000
 #: Bytes of the smallest sketch, and classes that may be broadcast (16 bytes each) once they are counted.
@@ -143,9 +145,9 @@ def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Region:
     """Documents of one region in one task: sets as places in the region's own list of shared shingles."""
 
-    def __init__(self, sets: list[np.ndarray], n: np.ndarray, component: np.ndarray, first: np.ndarray | None = None):
-        """component: documents of one known component have one number. first: pairs of equal numbers are settled."""
-        self.n, self.first = n, first
+    def __init__(self, sets: list[np.ndarray], n: np.ndarray, component: np.ndarray, homes: tuple[np.ndarray, ...] = ()):
+        """component: documents of one known component have one number. homes: pairs with an equal number in one of them are settled."""
+        self.n, self.homes = n, homes
         size = np.array([len(s) for s in sets], np.int64)
         token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         self.known, place, count = np.unique(token, return_inverse=True, return_counts=True)
@@ -187,8 +189,8 @@ class Region:
         most = roots[np.argmax(count)]
         for i in idx[self.root[idx] != most].tolist():
             near = (self.root[idx] != self.root[i]) & (100 * np.minimum(self.n[idx], self.n[i]) >= PERCENT * np.maximum(self.n[idx], self.n[i]))
-            if self.first is not None:
-                near &= self.first[idx] != self.first[i]
+            for h in self.homes:
+                near &= h[idx] != h[i]
             if near.any():
                 others = idx[near]
                 for p, close, _ in self.distances(np.array([i]), others):
@@ -341,32 +343,55 @@ def _regions(buckets: int):
     return run
 
 
-def _near(rows: DataFrame) -> DataFrame:
-    """The rows whose sizes and sketches leave a link open to another one of the region. rows: region, doc, n, component, first, e, whole."""
+def _of_size(rows: DataFrame) -> DataFrame:
+    """The rows that have another one of their region in reach by size. rows: region, doc, n."""
+
+    def run(batches):
+        for table, _ in key_runs(batches, ["region"]):
+            region, n = (table[c].to_numpy(zero_copy_only=False) for c in ("region", "n"))
+            near = (region[1:] == region[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])  # sorted by size: the next one is the nearest
+            yield from table.filter(pa.array(np.append(near, False) | np.append(False, near))).to_batches()
+
+    return rows.select("region", "doc", "n").repartition("region").sortWithinPartitions("region", "n").mapInArrow(run, "region long, doc long, n long")
+
+
+def _with_sizes(rows: DataFrame, total: int) -> DataFrame:
+    """The staged rows with m, the rows of their region; staged."""
+    sizes = stage(rows.groupBy("region").agg(F.count(F.lit(1)).alias("m")).withColumn("w", F.col("m")), "jaccard-sizes")
+    return stage(attach_skewed(rows, sizes, ["region"], "w", total, "inner"), "jaccard-sized")
+
+
+def _near(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows whose sizes and sketches leave a link open to another one of the region. rows: region, doc, n, component, homes, m; staged."""
 
     def run(batches):
         lean_memory()
         for table, edge in key_runs(batches, ["region"]):
-            n, comp, first = (table[c].to_numpy(zero_copy_only=False) for c in ("n", "component", "first"))
+            n, comp, *homes = (table[c].to_numpy(zero_copy_only=False) for c in ("n", "component", *_HOMES))
             keep = np.zeros(len(n), bool)
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if b - a > 1:
                     own = table["e"][a:b].to_pylist()
                     if b - a == 2:
-                        if comp[a] != comp[a + 1] and first[a] != first[a + 1]:
+                        if comp[a] != comp[a + 1] and all(h[a] != h[a + 1] for h in homes):
                             keep[a:b] = may_link(own[0], own[1], int(n[a]), int(n[a + 1]))
                         continue
                     side = Sketches(own, n[a:b])
                     for i in range(b - a):
                         if not keep[a + i]:
-                            found = side.may_link(own[i], int(n[a + i]), (comp[a:b] != comp[a + i]) & (first[a:b] != first[a + i]))
+                            wanted = comp[a:b] != comp[a + i]
+                            for h in homes:
+                                wanted &= h[a:b] != h[a + i]
+                            found = side.may_link(own[i], int(n[a + i]), wanted)
                             if found.any():
                                 keep[a + i] = True
                                 keep[a:b] |= found
-            yield from table.select(["region", "doc", "n"]).filter(pa.array(keep)).to_batches()
+            yield from table.select(_ROW).filter(pa.array(keep)).to_batches()
 
-    dealt = rows.where("not whole").select("region", "doc", "n", "component", "first", "e").repartition("region").sortWithinPartitions("region")
-    return dealt.mapInArrow(run, "region long, doc long, n long").unionByName(rows.where("whole").select("region", "doc", "n"))
+    small = rows.where(F.col("m") <= SKETCHED)
+    dealt = small.join(_only(sketches, small), "doc").select(*_ROW, "e").repartition("region").sortWithinPartitions("region")
+    schema = ", ".join(f"{c} long" for c in _ROW)
+    return dealt.mapInArrow(run, schema).unionByName(rows.where(F.col("m") > SKETCHED).select(*_ROW))
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, own: DataFrame) -> DataFrame:
@@ -386,30 +411,47 @@ def _sets(texts: DataFrame, wanted: DataFrame, own: DataFrame) -> DataFrame:
     return stage(picked.mapInArrow(run, "doc long, set binary").groupBy("doc").agg(F.first("set").alias("set")), "jaccard-sets")
 
 
+def _only(side: DataFrame, rows: DataFrame) -> DataFrame:
+    """The side's rows that a join by doc will need, filtered by a broadcast of ids where those are few."""
+    ids = stage(rows.select("doc").distinct(), "jaccard-ids")
+    return side.join(F.broadcast(ids), "doc", "left_semi") if ids.count() <= BROADCAST_IDS else side
+
+
+def _more_sets(texts: DataFrame, wanted: DataFrame, own: DataFrame, sets: DataFrame | None) -> DataFrame | None:
+    """The sets so far and those of wanted classes that aren't among them."""
+    fresh = stage(wanted if sets is None else wanted.join(sets.select("doc"), "doc", "left_anti"), "jaccard-wanted")
+    if not fresh.limit(1).count():
+        return sets
+    more = _sets(texts, fresh, own)
+    return more if sets is None else sets.unionByName(more)
+
+
 def _unpacked(column) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
 
 
 _LINKS = "a long, b long"
+_HOMES = [f"h{k}" for k in range(PASSES)]
+_ROW = ["region", "doc", "n", "component", *_HOMES]
 
 
 def _in_tasks(rows: DataFrame) -> DataFrame:
-    """Links (a, b) inside regions up to LARGE shingles. rows: region, doc, n, component, first, set."""
+    """Links (a, b) inside regions up to LARGE shingles. rows: region, doc, n, component, homes, set."""
 
     def run(batches):
         lean_memory()
         for table, edge in key_runs(batches, ["region"]):
-            doc, n, comp, first = (table[c].to_numpy(zero_copy_only=False) for c in ("doc", "n", "component", "first"))
+            doc, n, comp, *homes = (table[c].to_numpy(zero_copy_only=False) for c in ("doc", "n", "component", *_HOMES))
             a_out, b_out = [], []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if b - a > 1 and (comp[a:b] != comp[a]).any():
-                    own = Region(_unpacked(table["set"][a:b]), n[a:b], comp[a:b], first[a:b])
+                    own = Region(_unpacked(table["set"][a:b]), n[a:b], comp[a:b], tuple(h[a:b] for h in homes))
                     own.search(np.arange(b - a))
                     a_out += [int(doc[a + x]) for x, _ in own.joined]
                     b_out += [int(doc[a + y]) for _, y in own.joined]
             yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
-    return rows.select("region", "doc", "n", "component", "first", "set").repartition("region").sortWithinPartitions("region").mapInArrow(run, _LINKS)
+    return rows.select(*_ROW, "set").repartition("region").sortWithinPartitions("region").mapInArrow(run, _LINKS)
 
 
 def _against(members: DataFrame, askers: DataFrame, cells: bool) -> DataFrame:
@@ -461,6 +503,11 @@ def _measured(rows: DataFrame) -> DataFrame:
     return rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
 
 
+def _unsettled(start: int = 0) -> dict:
+    """Homes that no two documents have in common, from the pass `start` on."""
+    return {h: F.xxhash64("doc", F.lit(k)) for k, h in enumerate(_HOMES) if k >= start}
+
+
 class Classes:
     """Components of classes so far: rows (node, component), staged; classes without links aren't listed."""
 
@@ -482,13 +529,13 @@ class Classes:
 
     def still_open(self, rows: DataFrame, total: int) -> DataFrame:
         """The rows, with components, of regions that hold several."""
-        rows = stage(self.beside(rows), "jaccard-open")
+        rows = stage(self.beside(rows), "jaccard-beside")
         several = rows.groupBy("region").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m"))
-        return attach_skewed(rows, stage(several.where("c0 <> c1").select("region", "m"), "jaccard-several"), ["region"], "m", total, "inner")
+        return stage(attach_skewed(rows, stage(several.where("c0 <> c1").select("region", "m"), "jaccard-several"), ["region"], "m", total, "inner"), "jaccard-open")
 
 
 def _link_regions(rows: DataFrame, sets: DataFrame, classes: Classes, total: int) -> None:
-    """All links inside the regions go to `classes`. rows: region, doc, n, component, first; staged."""
+    """All links inside the regions go to `classes`. rows: region, doc, n, component, homes; staged."""
     size = stage(_measured(rows).where("m > 1").withColumn("large", F.col("total") > LARGE), "jaccard-sizes")
     rows = stage(attach_skewed(rows, size.select("region", "large", "m", "total", F.col("m").alias("w")), ["region"], "w", total, "inner"), "jaccard-sized")
     classes.add(_in_tasks(rows.where("not large").join(sets, "doc")))
@@ -513,10 +560,10 @@ def _link_regions(rows: DataFrame, sets: DataFrame, classes: Classes, total: int
         unstage(now)
         _exhaust(split.where("stuck"), classes)
         cells = cells.join(split.where("not stuck").select("region", "doc", "n"), ["region", "doc"]).select(F.col("cell").alias("region"), "doc", "n")
-        cells = stage(classes.still_open(cells, MOST_COPIES * total), "jaccard-cells")
+        cells = classes.still_open(cells, MOST_COPIES * total)
         size = stage(_measured(cells).withColumn("w", F.col("m")), "jaccard-sizes")
         cells = stage(attach_skewed(cells, size, ["region"], "w", MOST_COPIES * total, "inner"), "jaccard-cells")
-        small = cells.where(F.col("total") <= LARGE).withColumn("first", F.xxhash64("region", "doc"))
+        small = cells.where(F.col("total") <= LARGE).withColumns(_unsettled())
         classes.add(_in_tasks(small.join(sets, "doc")))
         large = stage(cells.where(F.col("total") > LARGE).select("region", "doc", "n", "m", "total"), "jaccard-large")
 
@@ -582,7 +629,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # classes; the sketch stands beside a batch's first row of a class
     first = F.min(F.struct("doc_id", "row")).alias("least")
     own = stage(named.groupBy(F.col("c").alias("doc")).agg(F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), first), "jaccard-own")
-    sketches = scan.where("kind = 0 and e is not null").groupBy(F.col("c").alias("doc")).agg(F.first("e").alias("e"))
+    sketches = stage(scan.where("kind = 0 and e is not null").groupBy(F.col("c").alias("doc")).agg(F.first("e").alias("e")), "jaccard-sketches")
     found = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= COMMON_TOTAL)
     common = [r["a"] for r in found.orderBy(F.desc("n"), "a").limit(COMMON_KEPT).collect()]
     size = texts.agg(F.sum(F.octet_length("raw")), F.count(F.lit(1))).first()
@@ -590,6 +637,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = _seeds(texts, common, buckets).groupBy("bucket").applyInArrow(_regions(buckets), "region long, part int, docs array<long>")
     lists = lists.groupBy("region", "part").agg(F.first("docs").alias("docs"))
     members = stage(lists.select("region", F.explode("docs").alias("doc")), "jaccard-lists")
+    release(docs.sparkSession)
     total = members.count()
     # regions that hold the same documents are one
     counted = members.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("p"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("same"))
@@ -597,25 +645,31 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     state = Classes()
     if counted.limit(1).count():
         rows = attach_skewed(members, counted, ["region"], "w", total, "inner")
-        rows = stage(rows.join(own.select("doc", "n").join(sketches, "doc"), "doc"), "jaccard-members")
+        rows = stage(rows.join(own.select("doc", "n"), "doc").select("region", "doc", "n", "m"), "jaccard-members")
         unstage(members)
-        whole = F.col("m") > SKETCHED
-        kept = _near(rows.select("region", "doc", "n", F.col("doc").alias("component"), F.col("doc").alias("first"), "e", whole.alias("whole")))
-        kept = stage(kept, "jaccard-near")
-        unstage(rows)
-        sizes = stage(_measured(kept).select("region", "m", F.col("m").alias("w")), "jaccard-sizes")
-        kept = stage(attach_skewed(kept, sizes, ["region"], "w", total, "inner"), "jaccard-near")
-        # the first pass: each document in its largest region
-        home = kept.groupBy("doc").agg(F.max(F.struct("m", "region")).alias("h")).select("doc", F.col("h.region").alias("home"))
-        kept = stage(kept.join(home, "doc"), "jaccard-near")
-        sets = _sets(texts, kept.select("doc").distinct(), own)
-        at_home = kept.where("region = home").select("region", "doc", "n", F.col("doc").alias("component"), F.col("doc").alias("first"))
-        _link_regions(stage(at_home, "jaccard-home"), sets, state, total)
-        # the second: pairs of different first regions, where they may still be linked
-        rest = state.still_open(kept.select("region", "doc", "n", F.col("home").alias("first"), (F.col("m") > SKETCHED).alias("whole")), total)
-        rest = stage(rest.join(sketches, "doc"), "jaccard-rest")
-        again = _near(rest).join(home, "doc").withColumnRenamed("home", "first")
-        _link_regions(stage(state.beside(again), "jaccard-again"), sets, state, total)
+        small = _of_size(rows.where(F.col("m") <= SKETCHED))
+        rows = stage(small.unionByName(rows.where(F.col("m") > SKETCHED).select("region", "doc", "n")).withColumns(_unsettled()), "jaccard-members")
+        sets: DataFrame | None = None
+        for k in range(PASSES + 1):
+            rows = _with_sizes(state.still_open(rows, total), total)
+            if not rows.limit(1).count():
+                break
+            if k:  # what may still be linked, in any region
+                rows = _with_sizes(stage(_near(rows, sketches), "jaccard-near"), total)
+            now = rows
+            if k < PASSES:  # each document in its largest region that wasn't its home before
+                fresh = F.lit(True)
+                for h in _HOMES[:k]:
+                    fresh &= F.col("region") != F.col(h)
+                home = rows.where(fresh).groupBy("doc").agg(F.max(F.struct("m", "region")).alias("h")).select("doc", F.col("h.region").alias("home"))
+                rows = stage(rows.join(home, "doc", "left").withColumn(_HOMES[k], F.coalesce("home", _HOMES[k])), "jaccard-home")
+                now = rows.where("region = home").withColumns(_unsettled(k))
+            now = stage(now.select(*_ROW) if k else _near(now, sketches), "jaccard-now")
+            sets = _more_sets(texts, now.select("doc").distinct(), own, sets)
+            if sets is not None:
+                _link_regions(now, sets, state, total)
+            release(docs.sparkSession)
+            rows = rows.select("region", "doc", "n", *_HOMES)
     if state.known is None:
         answers = own.where("copies > 1").select(F.col("doc").alias("c"), F.col("least.doc_id").alias("component_id"), F.col("doc").alias("part"), F.col("copies").alias("w"))
     else:

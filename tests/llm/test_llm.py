@@ -98,7 +98,7 @@ def test_region_finds_all_links():
             for j in range(i):
                 if jaccard.linked(len(np.intersect1d(sets[i], sets[j])), n[i], n[j]):
                     want[want == want[i]] = want[j]
-        region = jaccard.Region(sets, n, np.arange(len(sets)), np.arange(len(sets)))
+        region = jaccard.Region(sets, n, np.arange(len(sets)))
         region.search(np.arange(len(sets)))
         pairs = {(min(a, b), max(a, b)) for a in range(len(sets)) for b in range(len(sets)) if region.root[a] == region.root[b]}
         assert pairs == {(min(a, b), max(a, b)) for a in range(len(sets)) for b in range(len(sets)) if want[a] == want[b]}

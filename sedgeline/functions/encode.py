@@ -10,16 +10,20 @@ from pyspark.sql import types as T
 
 from ..plans.compiler import kind_of, zero_of
 from . import rules as R
+from .numbers import finite, number_text
+
+_TO_JSON = {"ignoreNullFields": "false"}
 
 
 @dataclass(frozen=True)
 class Out:
-    """How a field leaves: under `name`, left out when empty or zero, or as a quoted number."""
+    """How a field leaves: under `name`, left out when empty or zero, or as a quoted number. splice: a map's entries stand behind the named fields."""
 
     name: str | None = None
     omit_empty: bool = False
     omit_zero: bool = False
     quoted: bool = False
+    splice: bool = False
 
 
 def html_escape(json: Column) -> Column:
@@ -29,32 +33,62 @@ def html_escape(json: Column) -> Column:
     return json
 
 
-def number_text(c: Column) -> Column:
-    """Shortest text of a double; the exponent form outside [1e-6, 1e21), as 1e-7 and 1e+21."""
-    t = c.cast("string")
-    whole = F.regexp_replace(t, r"\.0(E|\z)", "$1")
-    exact = F.regexp_replace(F.regexp_replace(F.format_string("%.17f", c), r"0+\z", ""), r"\.\z", "")
-    large = F.when((F.abs(c) >= 1e21) | ((F.abs(c) < 1e-6) & (c != 0)), F.regexp_replace(F.regexp_replace(F.lower(whole), r"e([0-9])", "e+$1"), r"\.e", "e"))
-    plain = F.when(~F.contains(t, F.lit("E")), whole).when(F.abs(c) >= 1, F.regexp_replace(c.cast("decimal(38,0)").cast("string"), r"\.0\z", "")).otherwise(exact)
-    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None)).otherwise(F.coalesce(large, plain))
+def _has_floats(t: T.DataType) -> bool:
+    if isinstance(t, (T.DoubleType, T.FloatType)):
+        return True
+    if isinstance(t, T.StructType):
+        return any(_has_floats(f.dataType) for f in t.fields)
+    return _has_floats(t.elementType) if isinstance(t, T.ArrayType) else isinstance(t, T.MapType) and _has_floats(t.valueType)
+
+
+def _plain(c: Column) -> Column:
+    return F.regexp_extract(F.to_json(F.struct(c.alias("v")), _TO_JSON), r'(?s)\A\{"v":(.*)\}\z', 1)
+
+
+def _list(items: Column, open_: str, close: str) -> Column:
+    """Joined texts; null if one is null, as array_join would leave it out."""
+    return F.when(F.forall(items, lambda x: x.isNotNull()), F.concat(F.lit(open_), F.array_join(items, ","), F.lit(close)))
+
+
+def value_text(c: Column, t: T.DataType) -> Column:
+    """JSON text of a value; null where a float in it is NaN or infinite."""
+    if isinstance(t, (T.DoubleType, T.FloatType)):
+        text = number_text(c)
+    elif not _has_floats(t):
+        text = _plain(c)
+    elif isinstance(t, T.ArrayType):
+        text = _list(F.transform(c, lambda x: value_text(x, t.elementType)), "[", "]")
+    elif isinstance(t, T.MapType):
+        text = _list(F.transform(F.map_entries(c), lambda e: F.concat(_plain(e["key"].cast("string")), F.lit(":"), value_text(e["value"], t.valueType))), "{", "}")
+    else:
+        text = _list(F.array(*[F.concat(_plain(F.lit(f.name)), F.lit(":"), value_text(c[f.name], f.dataType)) for f in t.fields]), "{", "}")
+    return F.when(c.isNull(), "null").otherwise(text)
+
+
+def encodable(df: DataFrame) -> Column:
+    """False where a top-level float is NaN or infinite: such a row has no JSON text."""
+    out = F.lit(True)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            out = out & F.coalesce(finite(F.col(f"`{f.name}`")), F.lit(True))
+    return out
 
 
 def encode(df: DataFrame, fields: dict[str, Out] | None = None, sort_keys: bool = True, html: bool = False) -> Column:
     """The row as a JSON object. Only omitted fields are left out: other nulls are written as null.
 
-    Each field's text is made by itself and joined, so that omit rules and nulls don't hinder each other.
+    Each field's text is made by itself and joined, so that omit rules and nulls don't hinder each other. A row with a NaN
+    or an infinity has no JSON text: the result is null there.
     """
     fields = fields or {f.name: Out() for f in df.schema.fields}
-    parts = []
+    parts, splices = [], []
     for column, out in sorted(fields.items(), key=lambda x: x[1].name or x[0]) if sort_keys else fields.items():
         c, t = F.col(f"`{column}`"), df.schema[column].dataType
         kind, name = kind_of(t), out.name or column
-        key = F.regexp_extract(F.to_json(F.struct(F.lit(name).alias("k"))), r'\A\{"k":(.*)\}\z', 1)
-        value = number_text(c.cast("double")) if isinstance(t, (T.DoubleType, T.FloatType)) else None
-        if isinstance(t, T.FloatType):
-            value = F.regexp_replace(c.cast("string"), r"\.0\z", "")
-        if value is None:
-            value = F.regexp_extract(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), r'(?s)\A\{"v":(.*)\}\z', 1)
+        value = value_text(c, t)
+        if out.splice:
+            splices.append(F.when(F.size(c) > 0, F.substr(value, F.lit(2), F.char_length(value) - 2)).otherwise(F.when(c.isNull() | value.isNotNull(), F.lit(""))))
+            continue
         value = F.when(c.isNull(), "null").otherwise(F.concat(F.lit('"'), value, F.lit('"')) if out.quoted and kind in R.NUMERIC else value)
         keep = F.lit(True)
         if out.omit_empty and kind in R.SIZED:
@@ -63,11 +97,14 @@ def encode(df: DataFrame, fields: dict[str, Out] | None = None, sort_keys: bool
             keep = keep & c.isNotNull()
         if out.omit_zero:
             keep = keep & (c.isNotNull() if kind in (R.ARRAY, R.MAP, R.OTHER) else F.coalesce(c != zero_of(t), F.lit(False)))
-        parts.append(F.when(keep, F.concat(key, F.lit(":"), value)))
-    text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+        parts.append(F.when(keep, F.concat(_plain(F.lit(name)), F.lit(":"), value)).otherwise(F.lit("")))
+    every = F.array(*parts, *splices)
+    body = F.array_join(F.filter(every, lambda x: x != ""), ",")
+    text = F.when(F.forall(every, lambda x: x.isNotNull()), F.concat(F.lit("{"), body, F.lit("}")))
     return html_escape(text) if html else text
 
 
-def encode_array(payload: Column) -> Column:
-    """An aggregate: the group's payloads as one JSON array; order isn't kept."""
-    return F.concat(F.lit("["), F.array_join(F.collect_list(payload), ","), F.lit("]"))
+def encode_array(payload: Column, order: Column) -> Column:
+    """An aggregate: the group's payloads as one JSON array in that order; [] for an empty group. For bounded groups."""
+    found = F.array_sort(F.collect_list(F.struct(order.alias("o"), payload.alias("p"))))
+    return F.concat(F.lit("["), F.array_join(F.transform(found, lambda x: x["p"]), ","), F.lit("]"))

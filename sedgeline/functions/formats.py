@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,7 +114,7 @@ def to_unix(c: Column, unit: str = "milli") -> Column:
 
 
 def from_unix(c: Column, unit: str = "milli") -> Column:
-    return {"sec": F.timestamp_seconds, "milli": F.timestamp_millis, "micro": F.timestamp_micros}[unit](c) if unit != "nano" else F.timestamp_micros(F.floor(c / 1000).cast("long"))
+    return {"sec": F.timestamp_seconds, "milli": F.timestamp_millis, "micro": F.timestamp_micros}[unit](c) if unit != "nano" else F.timestamp_micros(F.call_function("div", c - F.pmod(c, F.lit(1000)), F.lit(1000)))
 
 
 # Units of durations in nanoseconds.
@@ -127,7 +129,84 @@ def from_duration(c: Column) -> Column:
 
     def nanos(part: Column) -> Column:
         number, unit = F.regexp_extract(part, r"\A([0-9.]+)", 1), F.regexp_extract(part, r"([a-zµμ]+)\z", 1)
-        return (number.cast("decimal(28,9)") * scale[unit].cast("decimal(14,0)")).cast("decimal(38,0)")
-
-    total = F.aggregate(parts, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + nanos(x)).cast("decimal(38,0)"))
-    return F.when(F.rlike(c, F.lit(_DURATION)), (total * F.when(F.startswith(c, F.lit("-")), -1).otherwise(1)).cast("long"))
+        return (number.try_cast("decimal(28,9)") * scale[unit].cast("decimal(14,0)")).try_cast("decimal(38,0)")
+
+    total = F.aggregate(parts, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + nanos(x)).try_cast("decimal(38,0)"))
+    return F.when(F.rlike(c, F.lit(_DURATION)), (total * F.when(F.startswith(c, F.lit("-")), -1).otherwise(1)).try_cast("long"))
+
+
+def to_duration(c: Column) -> Column:
+    """Nanoseconds as `1h30m0s`, `1.5s`, `2ms`, `3µs`, `4ns`, `0s`."""
+    n = F.abs(c.cast("decimal(38,0)"))
+    part = lambda unit: F.floor(n / F.lit(unit).cast("decimal(20,0)")).cast("long")
+
+    def decimals(unit: int, name: str) -> Column:
+        rest = F.lpad(F.pmod(n, F.lit(unit).cast("decimal(20,0)")).cast("long").cast("string"), len(str(unit)) - 1, "0")
+        rest = F.regexp_replace(rest, r"0+\z", "")
+        return F.concat(part(unit).cast("string"), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), F.lit(name))
+
+    small = F.when(n == 0, "0s").when(n < 1000, F.concat(n.cast("string"), F.lit("ns"))).when(n < 1_000_000, decimals(1000, "µs")).otherwise(decimals(1_000_000, "ms"))
+    hours, minutes = part(UNITS["h"]), F.pmod(part(UNITS["m"]), F.lit(60))
+    second = F.lit(UNITS["s"]).cast("decimal(20,0)")
+    tail = F.lpad(F.pmod(n, second).cast("long").cast("string"), 9, "0")
+    tail = F.regexp_replace(tail, r"0+\z", "")
+    seconds = F.concat(F.pmod(part(UNITS["s"]), F.lit(60)).cast("string"), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.lit("s"))
+    large = F.concat(
+        F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h"))).otherwise(""), F.when(part(UNITS["m"]) > 0, F.concat(minutes.cast("string"), F.lit("m"))).otherwise(""), seconds
+    )
+    return F.concat(F.when(c < 0, "-").otherwise(""), F.when(n < UNITS["s"], small).otherwise(large))
+
+
+def from_duration_number(c: Column, unit: str) -> Column:
+    """A number of sec, milli, micro or nano as nanoseconds; null beyond 64 bits."""
+    return (c.cast("decimal(28,9)") * F.lit({"sec": 10**9, "milli": 10**6, "micro": 1000, "nano": 1}[unit]).cast("decimal(10,0)")).try_cast("long")
+
+
+# Named layouts by their reference time, and what each element of a layout is in a pattern.
+LAYOUTS = {
+    "ANSIC": "Mon Jan _2 15:04:05 2006", "UnixDate": "Mon Jan _2 15:04:05 MST 2006", "RubyDate": "Mon Jan 02 15:04:05 -0700 2006", "RFC822": "02 Jan 06 15:04 MST",
+    "RFC822Z": "02 Jan 06 15:04 -0700", "RFC850": "Monday, 02-Jan-06 15:04:05 MST", "RFC1123": "Mon, 02 Jan 2006 15:04:05 MST", "RFC1123Z": "Mon, 02 Jan 2006 15:04:05 -0700",
+    "Kitchen": "3:04PM", "Stamp": "Jan _2 15:04:05", "StampMilli": "Jan _2 15:04:05.000", "StampMicro": "Jan _2 15:04:05.000000", "StampNano": "Jan _2 15:04:05.000000000",
+    "DateTime": "2006-01-02 15:04:05", "DateOnly": "2006-01-02", "TimeOnly": "15:04:05", "Layout": "01/02 03:04:05PM '06 -0700",
+}
+_ELEMENTS = [
+    ("Monday", "EEEE"), ("January", "MMMM"), ("2006", "yyyy"), ("-07:00", "xxx"), ("Z07:00", "XXX"), ("-0700", "xx"), ("Mon", "EEE"), ("Jan", "MMM"), ("MST", "zzz"),
+    ("01", "MM"), ("02", "dd"), ("03", "hh"), ("04", "mm"), ("05", "ss"), ("06", "yy"), ("15", "HH"), ("PM", "a"), ("_2", "d"), ("1", "M"), ("2", "d"), ("3", "h"), ("4", "m"), ("5", "s"),
+]
+
+
+def pattern(layout: str) -> str:
+    """A layout (named, or written as its reference time) as a date-time pattern."""
+    layout, out, at = LAYOUTS.get(layout, layout), "", 0
+    while at < len(layout):
+        dots = re.match(r"[.,](0+|9+)(?![0-9])", layout[at:])
+        hit = next(((a, b) for a, b in _ELEMENTS if layout.startswith(a, at)), None)
+        if dots:
+            out, at = out + layout[at] + "S" * len(dots[1]), at + len(dots[0])
+        elif hit:
+            out, at = out + hit[1], at + len(hit[0])
+        else:
+            out, at = out + (f"'{layout[at]}'" if layout[at].isalpha() else "''" if layout[at] == "'" else layout[at]), at + 1
+    return out
+
+
+def to_layout(c: Column, layout: str) -> Column:
+    """In the session's zone, which must be UTC; `_2` pads with a space."""
+    layout = LAYOUTS.get(layout, layout)
+    pieces = layout.split("_2")
+    out = [F.date_format(c, pattern(p)) if p else F.lit("") for p in pieces]
+    day = F.lpad(F.dayofmonth(c).cast("string"), 2, " ")
+    return F.concat(*[x for k, p in enumerate(out) for x in ((day, p) if k else (p,))])
+
+
+def from_layout(c: Column, layout: str) -> Column:
+    """Null where the text doesn't have the layout. A weekday must be there but isn't checked against the date."""
+    layout = LAYOUTS.get(layout, layout)
+    for name, days in (("Monday", "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday"), ("Mon", "Mon|Tue|Wed|Thu|Fri|Sat|Sun")):
+        if layout.startswith(name):
+            rest = re.match(r"[^A-Za-z0-9_]*", layout[len(name) :])[0]
+            c = F.when(F.rlike(c, F.lit(rf"\A(?:{days}){re.escape(rest)}")), F.regexp_replace(c, rf"\A(?:{days}){re.escape(rest)}", ""))
+            layout = layout[len(name) + len(rest) :]
+    if "_2" in layout:
+        c = F.regexp_replace(c, "  ", " ")
+    return F.try_to_timestamp(c, F.lit(pattern(layout)))

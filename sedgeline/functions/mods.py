@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from .rules import INTEGER, NUMERIC, TEXT
 
 # Fixed value: white space that trim strips; U+0085 and U+00A0 are in it, U+FEFF is not.
-TRIMMED = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+TRIMMED = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A[{TRIMMED}]+|[{TRIMMED}]+\z", "")
+    return F.btrim(c, F.lit(TRIMMED))
 
 
 def lower(c: Column) -> Column:
@@ -52,7 +52,8 @@ def clamp(c: Column, low: str, high: str, integer: bool) -> Column:
     if low:
         c = F.when(c < F.lit(read(low)), F.lit(read(low))).otherwise(c)
     if high:
-        c = F.when(c > F.lit(read(high)), F.lit(read(high))).otherwise(c)
+        above = c > F.lit(read(high))
+        c = F.when(above if integer else above & ~F.isnan(c.cast("double")), F.lit(read(high))).otherwise(c)  # NaN stays
     return c
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import encode as E
-from ..functions import formats, mods
+from ..functions import formats, mods, network
 from ..functions.rules import INTEGER, NUMBER, RULES, STRING
 from ..sources.payload import decode, is_json, shape, unknown_keys
-from .compiler import apply_pipes
+from .compiler import Function, apply_pipes, error_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -244,7 +244,7 @@ def payload_integrity(spark, d):
 
 _OBJECTS = [
     ('{"id":1,"name":"x"}', 1, "x", ""), ('{"name":"x"}', 0, "x", "required"), ('{"id":1,"name":null}', 1, None, "value"), ('{"id":1.0,"name":"x"}', None, "x", "value"),
-    ('{"id":"1","name":"x"}', None, "x", "value"), ('{"id":1,"name":"x","z":2}', 1, "x", "unknown"), ('{"id":1}', 1, "", ""), ('{"id":1,"id":2}', None, None, "syntax,duplicate"),
+    ('{"id":"1","name":"x"}', None, "x", "value"), ('{"id":1,"name":"x","z":2}', 1, "x", "unknown"), ('{"id":1}', 1, "", ""), ('{"id":1,"id":2}', 1, "", "duplicate"),
     ('{"id":1} 2', None, None, "syntax"), ("[]", None, None, "syntax"),
 ]
 
@@ -260,6 +260,180 @@ def payload_policies(spark, d):
     return decode(df, "payload", schema, required=("id",)).select("payload", F.col("id").cast("string").alias("id"), "name", F.array_join(_rules_of("errors"), ",").alias("failed"))
 
 
+def _rows(names: str, rows: list[tuple]) -> str:
+    """Expected rows as SQL, written from the survey's semantics."""
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in rows)}) t({names})"
+
+
+# payload, id, tags (null marked), u, props, errors as path:rule
+_SHAPES = [
+    ('{"id":1,"x":{"a":1,"a":2}}', "1", "", "0", ""), ('{"id":1,"z":1,"z":2}', "1", "", "0", ""), ('{"id":1,"id":2,"id":"x"}', "1", "", "0", "id:duplicate"),
+    ('{"id":1,"id":}', None, None, None, ":syntax"), ('{"tags":["a","b"]}', "0", "a|b", "0", ""), ('{"tags":["a",null]}', "0", None, "0", "tags[]:value"),
+    ('{"tags":[1,true]}', "0", None, "0", "tags[]:value"), ('{"tags":null}', "0", None, "0", ""), ('{"tags":[]}', "0", "", "0", ""), ('{"tags":"a"}', "0", None, "0", "tags:value"),
+    ('{"u":18446744073709551615}', "0", "", "18446744073709551615", ""), ('{"u":1.0}', "0", "", None, "u:value"), ('{"u":1e2}', "0", "", None, "u:value"), ('{"u":"1"}', "0", "", None, "u:value"),
+    ('{"id":9223372036854775807}', "9223372036854775807", "", "0", ""), ('{"id":9223372036854775808}', None, "", "0", "id:value"), ('{"id":-9223372036854775808}', "-9223372036854775808", "", "0", ""),
+    ('{"id":01}', None, None, None, ":syntax"), ('{"id":1.0}', None, "", "0", "id:value"), ('{"id":true}', None, "", "0", "id:value"), ('{"id":null}', None, "", "0", "id:value"),
+    ('{"m":{"a":1,"b":2}}', "0", "", "0", ""), ('{"m":{"a":"1"}}', "0", "", "0", "m.a.value:value"), ('{"m":null}', "0", "", "0", ""), ('{"m":[1]}', "0", "", "0", "m:value"),
+    ('{"o":{"n":3,"s":"x"}}', "0", "", "0", ""), ('{"o":{"n":"3"}}', "0", "", "0", "o.n:value"), ('{"o":{}}', "0", "", "0", ""), ('{"o":5}', "0", "", "0", "o:value"),
+    ('{"f":1e400}', "0", "", "0", "f:value"), ('{"f":-0}', "0", "", "0", ""), ('{"f":"NaN"}', "0", "", "0", "f:value"), ('{"f":NaN}', None, None, None, ":syntax"), ('{"b":"true"}', "0", "", "0", "b:value"),
+    ('{"b":1}', "0", "", "0", "b:value"), ('{"b":false}', "0", "", "0", ""), ("{'id':1}", None, None, None, ":syntax"), ('{"id":1,}', None, None, None, ":syntax"), ('{"id":1}{}', None, None, None, ":syntax"),
+    ('{"id":1}],[{"id":2}', None, None, None, ":syntax"), ('{"s":"\\ud83d\\ude00"}', "0", "", "0", ""), ('{"s":"\\ud83d"}', None, None, None, ":syntax"), ('{"s":"\\\\ud83d"}', "0", "", "0", ""),
+    (' \n{"id":7}\t', "7", "", "0", ""), ("", None, None, None, ":syntax"), ("null", None, None, None, ":syntax"), ('{"id":"1","u":"2"}', None, "", None, "id:value"), ('{"ID":1}', "0", "", "0", ""),
+]
+
+
+@query(_rows("payload, id, tags, u, failed", _SHAPES))
+def payload_shapes(spark, d):
+    """Strict shapes at every level, repeated keys, skipped content, 64-bit edges."""
+    inner = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("s", T.StringType())])
+    types = {"id": T.LongType(), "tags": T.ArrayType(T.StringType()), "u": T.DecimalType(20, 0), "m": T.MapType(T.StringType(), T.IntegerType()), "o": inner, "f": T.DoubleType(), "b": T.BooleanType(), "s": T.StringType()}
+    df = spark.createDataFrame([(r[0],) for r in _SHAPES], "payload string")
+    out = decode(df, "payload", T.StructType([T.StructField(k, v) for k, v in types.items()]), unknown="ignore")
+    failed = F.array_join(F.transform("errors", lambda e: F.concat(F.array_join(e["path"], "."), F.lit(":"), e["rule"])), ",")
+    return out.select("payload", F.col("id").cast("string").alias("id"), F.array_join("tags", "|").alias("tags"), F.col("u").cast("string").alias("u"), failed.alias("failed"))
+
+
+_FIRST = [('{"name":"alice","name":"bob","n":1}', "alice", 1, ""), ('{"name":"x","n":10,"n":999,"n":-5}', "x", 10, ""), ('{"name":"x","n":1,"n":@@@}', None, None, ": malformed payload"), ('{"n":null,"n":5}', "", None, "n: value doesn't fit the field"), ('{"n":101,"n":1}', "", 101, "n: value 101 exceeds maximum 100")]
+
+
+@query(_rows("payload, name, n, failed", _FIRST))
+def payload_first_wins(spark, d):
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("n", T.IntegerType())])
+    df = spark.createDataFrame([(r[0],) for r in _FIRST], "payload string")
+    out = decode(df, "payload", schema, duplicates="first", pipes={"name": "minlen=1", "n": "gte=0 lte=100"})
+    return out.select("payload", "name", "n", error_text(F.col("errors")).alias("failed"))
+
+
+# payload, count, price, opt, errors
+_LOOSE = [
+    ('{"count":5,"price":99,"opt":2}', 5, 99, 2, ""), ('{"count":"7","price":99,"opt":"3"}', 7, 99, 3, ""), ('{"count":1,"price":{"amount":42},"opt":0}', 1, 42, 0, ""),
+    ('{"count":1,"price":1,"opt":null}', 1, 1, 0, ""), ('{"count":"-3","price":1,"opt":0}', -3, 1, 0, "rule count: value -3 below minimum 0"),
+    ('{"count":true,"price":1,"opt":0}', None, 1, 0, "parse count: value doesn't fit the field"), ('{"count":"xyz","price":1}', None, 1, 0, "parse count: invalid number"),
+    ('{"count":null}', None, 0, 0, "parse count: value doesn't fit the field"), ("{}", 0, 0, 0, ""), ('{"price":{"amount":"x"}}', 0, None, 0, "parse price.amount: value doesn't fit the field"),
+]
+_ATOI = Function(lambda c: F.struct(c.try_cast("int").alias("value"), F.when(~F.rlike(c, F.lit(r"\A[+-]?[0-9]+\z")) | c.try_cast("int").isNull(), "invalid number").alias("error")), "try", "string")
+_MONEY = Function(lambda c: c["amount"], "mod", "object", T.StructType([T.StructField("amount", T.IntegerType())]))
+
+
+def _kinds_and_texts(errors: str) -> Column:
+    return F.array_join(F.transform(errors, lambda e: F.concat(e["kind"], F.lit(" "), error_text(F.array(e)))), "; ")
+
+
+@query(_rows("payload, count, price, opt, failed", _LOOSE))
+def var_converters(spark, d):
+    schema = T.StructType([T.StructField(c, T.IntegerType()) for c in ("count", "price", "opt")])
+    pipes = {"count": ". / @AtoiStrict ~ gte=0", "price": ". / @FromMoney", "opt": "nullzero / . / @AtoiStrict"}
+    df = spark.createDataFrame([(r[0],) for r in _LOOSE], "payload string")
+    out = decode(df, "payload", schema, pipes=pipes, functions={"AtoiStrict": _ATOI, "FromMoney": _MONEY})
+    return out.select("payload", "count", "price", "opt", _kinds_and_texts("errors").alias("failed"))
+
+
+_SHORT = "CASE WHEN c_custkey % 3 = 0 THEN 'ab' ELSE c_mktsegment END"
+
+
+@query(
+    f"SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE {_SHORT} END AS email, CASE WHEN c_custkey % 3 = 0 THEN 'parse email: rejected by mod' ELSE "
+    "concat_ws('; ', 'rule email: \"' || c_mktsegment || '\" does not contain \"@\"', CASE WHEN length(c_mktsegment) < 10 THEN 'rule email: length ' || length(c_mktsegment) || ' below minimum 10' END, "
+    "CASE WHEN c_acctbal < 0 THEN 'rule c_acctbal: value below' END) END AS failed FROM customer"
+)
+def pipe_fallible(spark, d):
+    """A transform that fails ends the record with its error alone."""
+    reject = Function(lambda c: F.struct(c.alias("value"), F.when(F.octet_length(c) < 3, "rejected by mod").alias("error")), "try")
+    df = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "ab").otherwise(F.col("c_mktsegment")).alias("email"), "c_acctbal")
+    out = apply_pipes(df, {"email": "required @RejectShort contains=@ minlen=10", "c_acctbal": "gte=0"}, {"RejectShort": reject})
+    # the balance's own text is a float's: told by its start only
+    short = F.regexp_replace(_kinds_and_texts("errors"), r"value -[0-9.e]+ below minimum 0", "value below")
+    return out.select("c_custkey", "email", short.alias("failed"))
+
+
+_MESSAGES = [
+    ("maxlen=2", "abc", "length 3 exceeds maximum 2"), ("maxrunes=1", "éé", "rune count 2 exceeds maximum 1"), ("url", "://b", '"://b" is not a valid url'), ("alphanum", "a b", '"a b" must be alphanumeric'),
+    ("numeric", "1x", '"1x" must be all digits'), ("hexadecimal", "g", '"g" is not hexadecimal'), ("islower", "aB", '"aB" contains uppercase letters'), ("isupper", "Ab", '"Ab" contains lowercase letters'),
+    ("starts=a", "ba", '"ba" does not start with "a"'), ("ends=b", "ba", '"ba" does not end with "b"'), ("contains=x", "ba", '"ba" does not contain "x"'), ("len=2", "a", "length 1 != required 2"),
+    ("notempty", "", "must not be empty"), ("eq=yes", "no", "value no != yes"), ("neq=no", "no", "value must not equal no"), ("oneof=a|b", "c", "value c not in allowed set [a, b]"),
+]
+
+
+@query(_rows("rule, v, message", _MESSAGES))
+def err_messages(spark, d):
+    out = None
+    for rule, v, _ in _MESSAGES:
+        one = apply_pipes(spark.createDataFrame([(rule, v)], "rule string, v string"), {"v": rule}).select("rule", "v", F.col("errors")[0]["message"].alias("message"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_FLOATS = [
+    ("0", "0"), ("-0.0", "-0"), ("1", "1"), ("-1.5", "-1.5"), ("1.2345678901234568e-5", "0.000012345678901234568"), ("1.2345678901234566e-9", "1.2345678901234566e-9"), ("1e-6", "0.000001"), ("9.99e-7", "9.99e-7"), ("1e-7", "1e-7"), ("1e20", "100000000000000000000"),
+    ("1e21", "1e+21"), ("123456789012345680000", "123456789012345680000"), ("1.7976931348623157e308", "1.7976931348623157e+308"), ("0.1", "0.1"), ("123.456", "123.456"), ("100", "100"), ("12345678.9", "12345678.9"),
+]
+
+
+@query("SELECT text, '{\"list\":[' || json || ',null],\"v\":' || json || '}' AS json FROM (" + _rows("text, json", _FLOATS) + ") UNION ALL SELECT 'NaN', NULL UNION ALL SELECT 'Infinity', NULL")
+def enc_floats(spark, d):
+    """Shortest texts at the top level and inside arrays; NaN and infinity have no JSON text."""
+    v = F.col("text").cast("double")
+    df = spark.createDataFrame([(r[0],) for r in _FLOATS] + [("NaN",), ("Infinity",)], "text string").select("text", v.alias("v"), F.array(v, F.lit(None).cast("double")).alias("list"))
+    return df.select("text", E.encode(df.select("v", "list")).alias("json"))
+
+
+@query("SELECT p_partkey, '{\"brand\":\"' || p_brand || '\",\"size\":' || p_size || ',\"type\":\"' || p_type || '\"}' AS json FROM part")
+def enc_splice(spark, d):
+    """A catch-all map's entries stand behind the named fields."""
+    p = table(spark, d, "part").withColumn("rest", F.create_map(F.lit("type"), F.col("p_type")))
+    return p.select("p_partkey", E.encode(p, {"rest": E.Out(splice=True), "p_size": E.Out("size"), "p_brand": E.Out("brand")}).alias("json"))
+
+
+# format, text, canonical text or null
+_NETWORK = [
+    ("addr", "1.2.3.4", "1.2.3.4"), ("addr", "1.2.3.04", None), ("addr", "256.1.1.1", None), ("addr", "::1", "::1"), ("addr", "FE80::1%eth0", "fe80::1%eth0"), ("addr", "::1%", None), ("addr", "", None),
+    ("addr", "::ffff:1.2.3.4", "::ffff:1.2.3.4"), ("ip", "", ""), ("ip", "::ffff:1.2.3.4", "1.2.3.4"), ("ip", "fe80::1%eth0", None), ("ip", "2001:DB8:0:0::1", "2001:db8::1"), ("ip", "1.2.3", None),
+    ("prefix", "10.1.2.3/8", "10.1.2.3/8"), ("prefix", "10.0.0.0/33", None), ("prefix", "10.0.0.0/08", None), ("prefix", "::1/128", "::1/128"), ("prefix", "10.0.0.0", None),
+    ("cidr", "10.1.2.3/8", "10.0.0.0/8"), ("cidr", "2001:db8::1/32", "2001:db8::/32"), ("cidr", "fe80::1%eth0/64", None), ("cidr", "", ""), ("cidr", "1.2.3.4/0", "0.0.0.0/0"),
+    ("socket", "1.2.3.4:80", "1.2.3.4:80"), ("socket", "[::1]:80", "[::1]:80"), ("socket", "[fe80::1%eth0]:80", "[fe80::1%eth0]:80"), ("socket", ":80", ":80"), ("socket", "", ""), ("socket", "localhost:80", None),
+    ("socket", "1.2.3.4:65536", None), ("socket", "1.2.3.4:http", None), ("socket", "[::ffff:1.2.3.4]:80", "1.2.3.4:80"), ("socket", "[::ffff:1.2.3.4%e]:80", None), ("socket", "::1:80", None), ("socket", "[1.2.3.4]:80", None), ("socket", "1.2.3.4", None),
+    ("url", "http://a.b/c?d=e#f", "http://a.b/c?d=e#f"), ("url", "HTTP://a.b/c d", "http://a.b/c%20d"), ("url", "://a", None), ("url", "http://a b/", None), ("url", "/x/y", "/x/y"), ("url", "http://a:x/", None), ("url", "http://a/%zz", None),
+    ("url", "a:b", "a:b"), ("url", "mailto:x@y.z", "mailto:x@y.z"), ("url", "http://[::1]:8080/", "http://[::1]:8080/"), ("url", "1a:b", None), ("url", "", ""),
+    ("bigint", "123456789012345678901234567890123456789012", "123456789012345678901234567890123456789012"), ("bigint", "-0", "-0"), ("bigint", "01", None), ("bigint", "1.0", None),
+    ("bigdecimal", "1.50", "1.5"), ("bigdecimal", "1e400", "1e+400"), ("bigdecimal", "x", None), ("bigrational", "4/6", "2/3"), ("bigrational", "1/0", None), ("bigrational", "0.25", "1/4"), ("bigrational", "3", "3/1"),
+]
+
+
+@query(_rows("format, t, canonical", _NETWORK))
+def fmt_network(spark, d):
+    df = spark.createDataFrame([(f, t) for f, t, _ in _NETWORK], "format string, t string")
+    out = F.lit(None).cast("string")
+    for name, read in network.READERS.items():
+        out = F.when(F.col("format") == name, read(F.col("t"))).otherwise(out)
+    return df.select("format", "t", out.alias("canonical"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S +0000') AS rfc1123z, strftime(o_orderdate, '%-I:%M%p') AS kitchen, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderdate AS back FROM orders")
+def fmt_layout(spark, d):
+    c = F.col("o_orderdate")
+    text = formats.to_layout(c.cast("timestamp"), "RFC1123Z")
+    return table(spark, d, "orders").select("o_orderkey", text.alias("rfc1123z"), formats.to_layout(c, "Kitchen").alias("kitchen"), formats.to_layout(c, "2006-01-02").alias("day"), formats.from_layout(text, "RFC1123Z").cast("timestamp_ntz").alias("back"))
+
+
+# text, nanoseconds, what is written back
+_DURATIONS = [
+    ("1h30m", 5400000000000, "1h30m0s"), ("1.5s", 1500000000, "1.5s"), ("-2ms", -2000000, "-2ms"), ("0", 0, "0s"), ("3us", 3000, "3µs"), ("4ns", 4, "4ns"), ("1m", 60000000000, "1m0s"), ("1500ms", 1500000000, "1.5s"),
+    ("1.25ms", 1250000, "1.25ms"), ("9999999999h", None, None), ("99999999999999999999999s", None, None), ("5", None, None), ("1x", None, None), ("1h1s", 3601000000000, "1h0m1s"),
+]
+
+
+@query(_rows("text, nanos, back", _DURATIONS))
+def fmt_duration(spark, d):
+    n = formats.from_duration(F.col("text"))
+    return spark.createDataFrame([(r[0],) for r in _DURATIONS], "text string").select("text", n.alias("nanos"), formats.to_duration(n).alias("back"))
+
+
+@query("SELECT n, us FROM (VALUES (1700000000123456999::BIGINT, 1700000000123456::BIGINT), (-1, -1), (999, 0), (0, 0)) t(n, us)")
+def fmt_unix_nano(spark, d):
+    df = spark.createDataFrame([(1700000000123456999,), (-1,), (999,), (0,)], "n long")
+    return df.select("n", F.unix_micros(formats.from_unix(F.col("n"), "nano")).alias("us"))
+
+
 @query("SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN " + _SEGMENT + " THEN 'oneof' END, CASE WHEN " + _BALANCE + " THEN 'gte' END], lambda x: x IS NOT NULL)) AS rule FROM customer) GROUP BY rule")
 def ext_violations(spark, d):
     """Extension: violations by rule."""

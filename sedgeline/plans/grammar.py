@@ -45,8 +45,11 @@ class Pipe:
 
 def _tokens(text: str) -> list[str]:
     """Words at depth 0: quotes keep spaces, parentheses nest."""
-    out, own, depth, quoted = [], "", 0, False
+    out, own, depth, quoted, escaped = [], "", 0, False, False
     for c in text:
+        if escaped or quoted and c == "\\":
+            own, escaped = own + c, not escaped
+            continue
         if c == "'":
             quoted = not quoted
         if not quoted:
@@ -58,16 +61,27 @@ def _tokens(text: str) -> list[str]:
                     out.append(own)
                 own = ""
                 continue
+            if c in "~/" and not depth and (c == "~" or _variant(own)) and "=" not in own:
+                out += [own, c] if own else [c]
+                own = ""
+                continue
         own += c
     if quoted or depth:
         raise StepError(f"unclosed {'quote' if quoted else 'parenthesis'} in {text!r}")
     return [*out, own] if own else out
 
 
+def _variant(own: str) -> bool:
+    """What stands before a `/` that separates variants."""
+    return own in ("", ".", "nullzero") or own[0] == "@" and ":" not in own
+
+
 def _parts(text: str) -> tuple[str, ...]:
-    out, own, quoted = [], "", False
+    out, own, quoted, escaped = [], "", False, False
     for c in text:
-        if c == "'":
+        if escaped or quoted and c == "\\":
+            own, escaped = own + c * escaped, not escaped
+        elif c == "'":
             quoted = not quoted
         elif c == "|" and not quoted:
             out.append(own)
@@ -101,6 +115,8 @@ def parse(text: str) -> Pipe:
     elif tokens and tokens[0] == "nullzero":
         pipe.variants, tokens = [Step("nullzero"), Step(".")], tokens[1:]
     for t in tokens:
+        if t == "~":  # stages follow each other as steps do
+            continue
         scope, colon, body = t.partition(":")
         if colon and scope in ("inner", "keys"):
             if getattr(pipe, scope):

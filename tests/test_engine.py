@@ -27,6 +27,12 @@ def test_grammar():
 
 def test_unsupported_variants(spark):
     df = spark.createDataFrame([(1,), (None,)], "n long")
+    conv = {"ToInt": Function(lambda c: c.cast("int"), "mod", "string")}
+    for text in (". / @NoSuchThing ~ minlen=1",):
+        with pytest.raises(StepError, match="no function"):
+            apply_pipes(df, {"n": text})
+    with pytest.raises(StepError, match="needs a payload"):
+        apply_pipes(df, {"n": ". / @ToInt"}, conv)
     for text in ("nullzero / . / @ToInt ~ gte=0", "@ToInt ~ gte=0", ". / other ~ gte=0"):
         with pytest.raises(StepError, match="input variant"):
             apply_pipes(df, {"n": text})
@@ -67,7 +73,7 @@ def test_order_and_errors(spark):
     out = apply_pipes(df, {"name": "required trim tolower minlen=3", "score": "gte=0 clamp=0|100 lte=100"})
     rows = out.select("name", "score", error_text(F.col("errors")).alias("e")).collect()
     assert rows[0][:2] == ("ab", 100.0) and rows[0]["e"] == "name: length 2 below minimum 3"
-    assert rows[1]["e"] == "score: value -1.0 below minimum 0; name: missing required field"
+    assert rows[1]["e"] == "score: value -1 below minimum 0; name: missing required field"
     first = apply_pipes(df, {"name": "required", "score": "gte=0"}, errors="first")
     assert [len(r[0]) for r in first.select("errors").collect()] == [0, 1]
     good, dead = split(first)

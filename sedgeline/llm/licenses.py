@@ -3,7 +3,8 @@
 A notice of n characters matched with at most k errors contains at least one of k + 1 disjoint pieces unchanged, so the
 pieces are exact seeds: an Aho-Corasick automaton over all of them finds the places, and the regex library's fuzzy
 matching confirms a window around each place and gives the span. Base phrases are found by consecutive words.
-Defined results: null text counts as empty; without words n_words is 0, places are null, labels empty and score 0.
+Defined results: null text counts as empty; without words n_words is 0, places are null, labels empty and score 0;
+repeated rows give repeated rows; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +36,19 @@ NOTICES = {
     "licensed under cc by": "cc-by",
     "mozilla public license": "mpl",
     "all rights reserved": "proprietary",
+    "the above copyright notice and this permission notice shall be included in all copies": "mit",
+    "neither the name of the copyright holder nor the names of its contributors may be used": "bsd",
+    "unless required by applicable law or agreed to in writing software distributed under the license": "apache",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "gnu affero general public license": "agpl",
+    "eclipse public license": "epl",
+    "boost software license": "bsl",
+    "european union public licence": "eupl",
+    "creative commons zero": "cc0",
 }
-#: Errors allowed: one for each so many characters of a notice.
-CHARS_PER_ERROR = 10
+#: Errors allowed: one for each so many characters of a notice; the exact seeds between them are about as long.
+CHARS_PER_ERROR = 12
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _GAP = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -2,14 +2,15 @@
 
 Each text gives a vector of transformed statistics. For each (lang, source), a minimum-covariance-determinant estimate
 is found by concentration steps: start from medians and median deviations, keep the COVERAGE share of rows with the
-smallest distances, take their mean and covariance, repeat. Distances are Mahalanobis distances under the group's
+smallest distances, take their mean and covariance, repeat until the determinants settle. Distances are Mahalanobis distances under the group's
 estimate, scaled so that their median is that of a chi-square variable. Groups of a few rows lean on their language's
 estimate: it counts as PRIOR_ROWS rows of every group. A row beyond the cutoff is rejected; the cutoff comes from the
 table's own distances (see `cutoff`), labels play no part.
 
 Aggregates combine on the map side, so a source with a third of all rows costs one row a task. Statistics of texts are
 computed once into a narrow table. Defined results: null text has no words; texts without words fail the base rules and
-take no part in estimates; null lang or source is a group of its own; an empty table gives an empty result.
+take no part in estimates; null lang or source is a group of its own; rows at the same distance stay or go together;
+repeated rows count each time; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 COVERAGE = 0.75
-STEPS = 2
+#: Concentration steps at most; they end when no group's determinant changes by more than SETTLED (its logarithm).
+STEPS, SETTLED = 6, 1e-3
 PRIOR_ROWS = 50
 #: Quantiles 0.5 and 0.999 of chi-square with five degrees of freedom.
 CHI2_MEDIAN, CHI2_FAR = 4.3515, 20.515
@@ -171,7 +173,13 @@ def mcd(rows: DataFrame) -> DataFrame:
     d2 = reduce(lambda a, i: a + F.pow(off[i] / F.greatest(MAD_TO_SD * F.col(f"mad{i}"), F.lit(FLOOR[i])), F.lit(2)), range(DIM), F.lit(0.0))
     estimate = _estimate(_keep_nearest(apart.withColumn("d2", d2).select(*rows.columns, "d2")))
     for _ in range(STEPS):
-        estimate = _estimate(_keep_nearest(_distances(rows, estimate)))
+        new = _estimate(_keep_nearest(_distances(rows, estimate)))
+        size = reduce(lambda a, i: a + F.log(F.col(f"f{i}{i}")), range(DIM), F.lit(0.0))
+        both = attach(new.select("lang", "source", size.alias("new")), estimate.select("lang", "source", size.alias("old")), ["lang", "source"])
+        moved = both.agg(F.max(F.abs(F.col("new") - F.col("old")))).first()[0]
+        estimate = new
+        if moved is None or 2 * moved <= SETTLED:
+            break
     return estimate
 
 

@@ -379,12 +379,21 @@ def test_toxicity(spark):
     assert np.mean([got[i]["predicted"] == labels[i][1] for i in held]) > 0.95 and got[1000]["predicted"] == got[1001]["predicted"] == 0
     machine = toxicity.Composition(*(f() for f in toxicity.GRAMMAR))
     out = []
-    for symbols in ("ui", "ni", "ri"):
+    for symbols in ("ul", "nl", "rl", "el", "v", "mv", "uov", "vu", "nmv", "rvu", "umv"):
         state = machine.start
         for s in symbols:
             state, o, f = machine.step(state, s)
         out.append((o, f))
-    assert out == [("i", 1.25), ("x", 0.5), ("q", 0.7)]
+    # insults beside a target, negated, reported, raised; verbs alone, behind "will", behind and before a target
+    assert out == [("i", 1.25), ("x", 0.5), ("q", 0.7), ("i", 1.2), ("o", 1.0), ("t", 1.5), ("o", 1.0), ("t", 1.0), ("x", 0.75), ("q", 0.7), ("t", 3.0)]
+
+
+def test_threat_phrases():
+    s = toxicity.Scorer(toxicity.Model({}, *toxicity.DEFAULT_LAYER))
+    zero = [0.0] * toxicity.FEATURES
+    assert s.features("They beat the eggs and burn wood. A kill switch.") == zero
+    assert s.features("I am going to hurt you.")[0] == s.features("We will burn it.")[0] > s.features("Hurt you.")[0] > 0
+    assert s.features("He said he will kill you.")[3] > 0 and s.features("I will not kill you.")[2] > 0
 
 
 def test_toxicity_sample_is_bounded(spark, monkeypatch):
@@ -419,3 +428,83 @@ def test_stages(spark, docs, tmp_path):
     groups = {r["component_id"] for r in jaccard.jaccard_join(docs).collect()}
     assert sorted(kept) == sorted(groups)
     assert corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).agg(F.sum("length")).first()[0] > 0
+
+
+def test_pii_base_against_plain():
+    """Every base kind, the digest and the order against the contract's own patterns."""
+    import re
+
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    digits = lambda s: [int(c) for c in s if c in "0123456789"]
+
+    def luhn(d):
+        return sum(sum(divmod(2 * x, 10)) if k % 2 else x for k, x in enumerate(reversed(d))) % 10 == 0
+
+    r = random.Random(12)
+    for _ in range(4000):
+        t = "".join(r.choice(["1", "4", "0", "25", "255", ".", ".", "-", " ", "+", "(", "a", "@", "é", "4111 1111 1111 1111", "10.0.0.1", "+1 555 010 9999", "x@y.z"]) for _ in range(r.randint(0, 30)))
+        want = [(*m.span(), "email") for m in email.finditer(t)]
+        want += [(*m.span(), "ip") for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+        want += [(*m.span(), "card") for m in card.finditer(t) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+        want += [(*m.span(), "phone") for m in phone.finditer(t) if 9 <= len(digits(m[0])) <= 15]
+        want.sort(key=lambda s: (s[0], pii.BASE.index(s[2])))
+        got = [(a, b, k) for a, b, k, _ in pii.spans(t) if k in pii.BASE]
+        assert got == want, t
+
+
+def test_long_texts_take_little_time():
+    import time
+
+    began = time.time()
+    for t in ("0" * 5000 + ".1.1.1", "7" * 1_000_000, "1." * 300_000, "a@" * 300_000, "+1(" * 200_000, "AB12 " * 100_000, "1 " * 300_000):
+        pii.spans(t)
+    assert time.time() - began < 30
+    began = time.time()
+    tree = tokencounts.CountTree("", len)
+    text = ",".join(f"name{i}x@host.example" for i in range(8000))
+    tree = tokencounts.CountTree(text, lambda x: len(x.split(",")))
+    tree.edit_all(tokencounts.mask_edits(text))
+    tree.rebalance()
+    assert tree.text.count("[email]") == 8000 and max(map(len, tree.leaves)) < 100 * tokencounts.LEAF and time.time() - began < 20
+
+
+def test_licenses_base_against_plain():
+    import re
+
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    s, r = licenses.Scanner(), random.Random(11)
+    for _ in range(2000):
+        t = "".join(r.choice(["GNU", "general ", "public", " license", "apache", "cc", "by", "MIT", " ", "-", "\n", "é", "x", "mit license ", "cc by"]) for _ in range(r.randint(0, 25)))
+        w = [x.decode() for x in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.encode().lower())]
+        at = sorted((k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+        got = s.scan(t)
+        assert (got["n_words"], got["n_base"], got["base_labels"]) == (len(w), len(at), ",".join(sorted({x for _, x in at}))), t
+        assert (got["first_word"], got["last_word"]) == ((at[0][0], at[-1][0]) if at else (None, None)) and {x for _, x in at} <= set(got["labels"].split(","))
+
+
+def test_kept_trees(spark):
+    """A later call starts from the trees of the one before: it encodes what its own edits touch."""
+    w, r = WordBpe(), random.Random(3)
+    texts = {i: " ".join(r.choice(["alpha", "don't", "x9y", "a@b.example", "(5)", "né"]) for _ in range(400)) for i in range(20)}
+    docs = spark.createDataFrame([*texts.items(), (50, None), (51, "")], "doc_id long, text string")
+    first = tokencounts.count_tokens(docs).cache()
+    rows = {x["doc_id"]: x for x in first.collect()}
+    assert len(rows) == 22 and rows[50]["n_tokens"] == rows[51]["n_tokens"] == 0
+    for i, t in texts.items():
+        x = rows[i]
+        assert x["n_tokens"] == w.count(t) and x["n_tokens_edited"] == w.count(x["edited"]) == sum(x["leaf_tokens"]) and sum(x["leaf_chars"]) == len(x["edited"])
+    after = spark.createDataFrame([(i, rows[i]["edited"]) for i in texts], "doc_id long, text string")
+    second = tokencounts.count_tokens(after, edits=lambda t: [(0, 5, "omega")], trees=first)
+    for x in second.collect():
+        assert x["n_chars_encoded"] == 0 and 0 < x["n_chars_reencoded"] < 2500 and x["n_tokens_edited"] == w.count(x["edited"])
+
+
+def test_queries_over_a_table(spark, docs, tmp_path):
+    """The thin queries over a table with clashing and extra columns, repeated rows and nulls."""
+    rows = docs.withColumn("score", F.lit("x")).withColumn("n_words", F.lit("y")).withColumn("labels", F.lit(1)).withColumn("rank", F.lit(2)).withColumn("spans", F.lit(0))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for f in (toxicity.op1_toxicity, pii.op2_pii, mixing.op3_mixing, licenses.op5_licenses, substrings.op6_substrings, tokencounts.op7_token_counts, quality.op8_quality):
+        got = f(spark, str(tmp_path))
+        assert len(set(got.columns)) == len(got.columns) and got.count() == len(corpus()), f.__name__

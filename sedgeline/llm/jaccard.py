@@ -46,6 +46,8 @@ OUTER = 1 - RADIUS
 COMMON_BATCH, COMMON_TOTAL, COMMON_KEPT = 2, 8, 200_000
 #: Bytes of text for which there is one bucket of seeds.
 BUCKET_BYTES, MIN_BUCKETS = 2_000_000, 64
+#: Bytes of a shingle's hash that travel to its bucket: two shingles that agree in them share a region, which costs time only.
+TOKEN_BYTES = 5
 #: Shingles of a region that one task holds.
 LARGE = 1 << 20
 #: Documents of a region that are compared without pivots, and pivots of a region.
@@ -307,7 +309,8 @@ def _seeds(texts: DataFrame, common: list[int], buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             bucket, token, owner = bucket[order], token[order], owner[order]
             edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            blobs = [token[x:y].tobytes() + owner[x:y].tobytes() for x, y in zip(edge, [*edge[1:], len(bucket)], strict=True)]
+            short = token.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
+            blobs = [short[x:y].tobytes() + owner[x:y].tobytes() for x, y in zip(edge, [*edge[1:], len(bucket)], strict=True)]
             yield pa.RecordBatch.from_pydict({"bucket": bucket[edge], "packed": pa.array(blobs, pa.binary())})
 
     return texts.mapInArrow(run, "bucket int, packed binary")
@@ -317,10 +320,13 @@ def _regions(buckets: int):
     """One bucket: the classes of each shingle that two or more have, and a hash of that list; or of a common shingle, those dealt to this bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in table["packed"].to_pylist()]
+        parts = table["packed"].to_pylist()
         bucket = table["bucket"][0].as_py()
-        token = np.concatenate([x[: len(x) // 2] for x in parts])
-        doc = np.concatenate([x[len(x) // 2 :] for x in parts]).view(np.int64)
+        count = [len(x) // (TOKEN_BYTES + 8) for x in parts]
+        raw = np.zeros((sum(count), 8), np.uint8)
+        raw[:, :TOKEN_BYTES] = np.frombuffer(b"".join(x[: TOKEN_BYTES * n] for x, n in zip(parts, count, strict=True)), np.uint8).reshape(-1, TOKEN_BYTES)
+        token = raw.view(np.uint64).ravel()
+        doc = np.concatenate([np.frombuffer(x, np.int64, offset=TOKEN_BYTES * n) for x, n in zip(parts, count, strict=True)])
         order = np.lexsort((doc, token))
         token, doc = token[order], doc[order]
         again = np.zeros(len(token), bool)
@@ -355,13 +361,13 @@ def _of_size(rows: DataFrame) -> DataFrame:
     return rows.select("region", "doc", "n").repartition("region").sortWithinPartitions("region", "n").mapInArrow(run, "region long, doc long, n long")
 
 
-def _with_sizes(rows: DataFrame, total: int) -> DataFrame:
+def _with_sizes(rows: DataFrame, state: Classes, total: int) -> DataFrame:
     """The staged rows with m, the rows of their region; staged."""
-    sizes = stage(rows.groupBy("region").agg(F.count(F.lit(1)).alias("m")).withColumn("w", F.col("m")), "jaccard-sizes")
-    return stage(attach_skewed(rows, sizes, ["region"], "w", total, "inner"), "jaccard-sized")
+    sizes = state.stage(rows.groupBy("region").agg(F.count(F.lit(1)).alias("m")).withColumn("w", F.col("m")), "jaccard-sizes")
+    return state.stage(attach_skewed(rows, sizes, ["region"], "w", total, "inner"), "jaccard-sized")
 
 
-def _near(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+def _near(rows: DataFrame, sketches: DataFrame, state: Classes) -> DataFrame:
     """The rows whose sizes and sketches leave a link open to another one of the region. rows: region, doc, n, component, homes, m; staged."""
 
     def run(batches):
@@ -389,7 +395,7 @@ def _near(rows: DataFrame, sketches: DataFrame) -> DataFrame:
             yield from table.select(_ROW).filter(pa.array(keep)).to_batches()
 
     small = rows.where(F.col("m") <= SKETCHED)
-    dealt = small.join(_only(sketches, small), "doc").select(*_ROW, "e").repartition("region").sortWithinPartitions("region")
+    dealt = small.join(_only(sketches, small, state), "doc").select(*_ROW, "e").repartition("region").sortWithinPartitions("region")
     schema = ", ".join(f"{c} long" for c in _ROW)
     return dealt.mapInArrow(run, schema).unionByName(rows.where(F.col("m") > SKETCHED).select(*_ROW))
 
@@ -411,18 +417,19 @@ def _sets(texts: DataFrame, wanted: DataFrame, own: DataFrame) -> DataFrame:
     return stage(picked.mapInArrow(run, "doc long, set binary").groupBy("doc").agg(F.first("set").alias("set")), "jaccard-sets")
 
 
-def _only(side: DataFrame, rows: DataFrame) -> DataFrame:
+def _only(side: DataFrame, rows: DataFrame, state: Classes) -> DataFrame:
     """The side's rows that a join by doc will need, filtered by a broadcast of ids where those are few."""
-    ids = stage(rows.select("doc").distinct(), "jaccard-ids")
+    ids = state.stage(rows.select("doc").distinct(), "jaccard-ids")
     return side.join(F.broadcast(ids), "doc", "left_semi") if ids.count() <= BROADCAST_IDS else side
 
 
-def _more_sets(texts: DataFrame, wanted: DataFrame, own: DataFrame, sets: DataFrame | None) -> DataFrame | None:
+def _more_sets(texts: DataFrame, wanted: DataFrame, own: DataFrame, sets: DataFrame | None, state: Classes) -> DataFrame | None:
     """The sets so far and those of wanted classes that aren't among them."""
-    fresh = stage(wanted if sets is None else wanted.join(sets.select("doc"), "doc", "left_anti"), "jaccard-wanted")
+    fresh = state.stage(wanted if sets is None else wanted.join(sets.select("doc"), "doc", "left_anti"), "jaccard-wanted")
     if not fresh.limit(1).count():
         return sets
     more = _sets(texts, fresh, own)
+    release(texts.sparkSession)
     return more if sets is None else sets.unionByName(more)
 
 
@@ -513,13 +520,28 @@ class Classes:
 
     def __init__(self):
         self.known: DataFrame | None = None
+        self.tables: list[DataFrame] = []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """A staged table that goes at the end of a pass."""
+        self.tables.append(stage(df, name))
+        return self.tables[-1]
+
+    def sweep(self, *keep: DataFrame) -> None:
+        """Delete the pass's tables but for those, and let shuffle files go."""
+        for t in self.tables:
+            if not any(t is k for k in keep):
+                unstage(t)
+        spark = self.tables[0].sparkSession if self.tables else None
+        self.tables = [t for t in self.tables if any(t is k for k in keep)]
+        if spark:
+            release(spark)
 
     def add(self, links: DataFrame) -> None:
         links = stage(links, "jaccard-links")
         if links.limit(1).count():
             self.known = _join_classes(links, self.known)
-        else:
-            unstage(links)
+        unstage(links)
 
     def beside(self, rows: DataFrame) -> DataFrame:
         rows = rows.drop("component")
@@ -529,50 +551,49 @@ class Classes:
 
     def still_open(self, rows: DataFrame, total: int) -> DataFrame:
         """The rows, with components, of regions that hold several."""
-        rows = stage(self.beside(rows), "jaccard-beside")
+        rows = self.stage(self.beside(rows), "jaccard-beside")
         several = rows.groupBy("region").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m"))
-        return stage(attach_skewed(rows, stage(several.where("c0 <> c1").select("region", "m"), "jaccard-several"), ["region"], "m", total, "inner"), "jaccard-open")
+        several = self.stage(several.where("c0 <> c1").select("region", "m"), "jaccard-several")
+        return self.stage(attach_skewed(rows, several, ["region"], "m", total, "inner"), "jaccard-open")
 
 
 def _link_regions(rows: DataFrame, sets: DataFrame, classes: Classes, total: int) -> None:
     """All links inside the regions go to `classes`. rows: region, doc, n, component, homes; staged."""
-    size = stage(_measured(rows).where("m > 1").withColumn("large", F.col("total") > LARGE), "jaccard-sizes")
-    rows = stage(attach_skewed(rows, size.select("region", "large", "m", "total", F.col("m").alias("w")), ["region"], "w", total, "inner"), "jaccard-sized")
+    size = classes.stage(_measured(rows).where("m > 1").withColumn("large", F.col("total") > LARGE), "jaccard-sizes")
+    rows = classes.stage(attach_skewed(rows, size.select("region", "large", "m", "total", F.col("m").alias("w")), ["region"], "w", total, "inner"), "jaccard-sized")
     classes.add(_in_tasks(rows.where("not large").join(sets, "doc")))
     large, seed = rows.where("large").select("region", "doc", "n", "m", "total"), 0
     while large.limit(1).count():
         seed += 1
-        now = stage(classes.beside(large).join(sets, "doc"), "jaccard-large")
-        unstage(large) if seed > 1 else None
+        now = classes.stage(classes.beside(large).join(sets, "doc"), "jaccard-large")
         # pivots by a hash that every round draws anew, one at least
         draw = F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(1 << 30))
         one = now.groupBy("region").agg(F.min(F.struct(draw, "doc")).alias("f")).select("region", F.col("f.doc").alias("f"))
         split = now.join(F.broadcast(one) if one.count() <= BROADCAST_IDS else one, "region").withColumn("parts", F.ceil(F.col("total") / LARGE).cast("int"))
         split = split.withColumn("part", F.pmod(F.xxhash64("doc", F.lit(-1)), F.col("parts")).cast("int"))
         pivots = split.where((F.col("doc") == F.col("f")) | (draw / float(1 << 30) * F.col("m") < PIVOTS))
-        found = stage(_against(split, pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), True), "jaccard-cells")
+        found = classes.stage(_against(split, pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), True), "jaccard-cells")
         classes.add(found.where("kind = 0").select("a", "b").distinct())
         # the cells of a region, or the region itself where they aren't smaller
         cells = found.where("kind > 0").select("region", F.xxhash64("region", "kind", "b", F.lit(seed)).alias("cell"), F.col("a").alias("doc"))
         fate = cells.groupBy("region", "cell").agg(F.count(F.lit(1)).alias("k")).groupBy("region").agg(F.sum("k").alias("all"), F.max("k").alias("most"))
         split = now.join(fate, "region").withColumn("stuck", (F.col("all") > MOST_COPIES * F.col("m")) | (F.col("most") > SHRINK * F.col("m")))
-        split = stage(split.select("region", "doc", "n", "total", "set", "stuck"), "jaccard-fate")
-        unstage(now)
+        split = classes.stage(split.select("region", "doc", "n", "total", "set", "stuck"), "jaccard-fate")
         _exhaust(split.where("stuck"), classes)
         cells = cells.join(split.where("not stuck").select("region", "doc", "n"), ["region", "doc"]).select(F.col("cell").alias("region"), "doc", "n")
         cells = classes.still_open(cells, MOST_COPIES * total)
-        size = stage(_measured(cells).withColumn("w", F.col("m")), "jaccard-sizes")
-        cells = stage(attach_skewed(cells, size, ["region"], "w", MOST_COPIES * total, "inner"), "jaccard-cells")
+        size = classes.stage(_measured(cells).withColumn("w", F.col("m")), "jaccard-sizes")
+        cells = classes.stage(attach_skewed(cells, size, ["region"], "w", MOST_COPIES * total, "inner"), "jaccard-cells")
         small = cells.where(F.col("total") <= LARGE).withColumns(_unsettled())
         classes.add(_in_tasks(small.join(sets, "doc")))
-        large = stage(cells.where(F.col("total") > LARGE).select("region", "doc", "n", "m", "total"), "jaccard-large")
+        large = classes.stage(cells.where(F.col("total") > LARGE).select("region", "doc", "n", "m", "total"), "jaccard-large")
 
 
 def _exhaust(rows: DataFrame, classes: Classes) -> None:
     """Every document outside its region's largest component against all others, part by part. rows: region, doc, n, total, set; staged."""
     if not rows.limit(1).count():
         return
-    rows = stage(classes.beside(rows), "jaccard-stuck")
+    rows = classes.stage(classes.beside(rows), "jaccard-stuck")
     top = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("region").agg(F.max(F.struct("k", "component")).alias("t"))
     rows = rows.join(top.select("region", F.col("t.component").alias("top")), "region")
     parts = F.ceil(F.col("total") / LARGE).cast("int")
@@ -645,31 +666,34 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     state = Classes()
     if counted.limit(1).count():
         rows = attach_skewed(members, counted, ["region"], "w", total, "inner")
-        rows = stage(rows.join(own.select("doc", "n"), "doc").select("region", "doc", "n", "m"), "jaccard-members")
+        rows = state.stage(rows.join(own.select("doc", "n"), "doc").select("region", "doc", "n", "m"), "jaccard-members")
         unstage(members)
         small = _of_size(rows.where(F.col("m") <= SKETCHED))
-        rows = stage(small.unionByName(rows.where(F.col("m") > SKETCHED).select("region", "doc", "n")).withColumns(_unsettled()), "jaccard-members")
+        rows = state.stage(small.unionByName(rows.where(F.col("m") > SKETCHED).select("region", "doc", "n")).withColumns(_unsettled()), "jaccard-members")
+        state.sweep(rows)
         sets: DataFrame | None = None
         for k in range(PASSES + 1):
-            rows = _with_sizes(state.still_open(rows, total), total)
+            rows = _with_sizes(state.still_open(rows, total), state, total)
             if not rows.limit(1).count():
                 break
             if k:  # what may still be linked, in any region
-                rows = _with_sizes(stage(_near(rows, sketches), "jaccard-near"), total)
-            now = rows
+                rows = _with_sizes(state.stage(_near(rows, sketches, state), "jaccard-near"), state, total)
+                release(docs.sparkSession)
+            now = base = rows
             if k < PASSES:  # each document in its largest region that wasn't its home before
                 fresh = F.lit(True)
                 for h in _HOMES[:k]:
                     fresh &= F.col("region") != F.col(h)
                 home = rows.where(fresh).groupBy("doc").agg(F.max(F.struct("m", "region")).alias("h")).select("doc", F.col("h.region").alias("home"))
-                rows = stage(rows.join(home, "doc", "left").withColumn(_HOMES[k], F.coalesce("home", _HOMES[k])), "jaccard-home")
+                rows = base = state.stage(rows.join(home, "doc", "left").withColumn(_HOMES[k], F.coalesce("home", _HOMES[k])), "jaccard-home")
                 now = rows.where("region = home").withColumns(_unsettled(k))
-            now = stage(now.select(*_ROW) if k else _near(now, sketches), "jaccard-now")
-            sets = _more_sets(texts, now.select("doc").distinct(), own, sets)
+            now = state.stage(now.select(*_ROW) if k else _near(now, sketches, state), "jaccard-now")
+            sets = _more_sets(texts, now.select("doc").distinct(), own, sets, state)
             if sets is not None:
                 _link_regions(now, sets, state, total)
-            release(docs.sparkSession)
+            state.sweep(base)
             rows = rows.select("region", "doc", "n", *_HOMES)
+        state.sweep()
     if state.known is None:
         answers = own.where("copies > 1").select(F.col("doc").alias("c"), F.col("least.doc_id").alias("component_id"), F.col("doc").alias("part"), F.col("copies").alias("w"))
     else:

@@ -73,7 +73,7 @@ def test_jaccard_is_exact(docs):
 def test_jaccard_large_regions(docs, monkeypatch):
     """Rounds over the whole table, broadcasts of hot keys and common shingles change the way, not the result."""
     want = {tuple(r) for r in jaccard.jaccard_join(docs).collect()}
-    for limits in ({"LARGE": 2500, "SKETCHED": 5, "MOST_COPIES": 0}, {"COMMON_TOTAL": 1, "COMMON_BATCH": 1, "LARGE": 3000, "MOST_COPIES": 50, "SHRINK": 0.97}):
+    for limits in ({"LARGE": 2500, "SKETCHED": 5, "MOST_COPIES": 0, "TOKEN_BYTES": 2}, {"COMMON_TOTAL": 1, "COMMON_BATCH": 1, "LARGE": 3000, "MOST_COPIES": 50, "SHRINK": 0.97}):
         with monkeypatch.context() as m:
             for k, v in limits.items():
                 m.setattr(jaccard, k, v)

@@ -55,43 +55,30 @@ def of_length(c: Column, n: int) -> Column:
     return F.when(F.octet_length(c) == n, c)
 
 
-# Alphabets of base32 and base32hex.
+# Alphabets of base32 and base32hex. The second has the digits of `conv` in base 32.
 BASE32, BASE32HEX = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 
-def _groups(size: Column, width: int) -> Column:
-    """0, 1, ... for each group of `width` characters, the last of which may be short."""
-    return F.when(size > 0, F.sequence(F.lit(0), F.ceil(size / width).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+def _rebase(digits: Column, width: int, base: int, to_width: int, to_base: int) -> Column:
+    """Digits in another base, `width` of them at a time; a short end is filled with zeros. The text is cut up once: its time is linear."""
+    parts = F.regexp_extract_all(digits, F.lit(f".{{1,{width}}}"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.lpad(F.conv(F.rpad(x, width, "0"), base, to_base), to_width, "0")), "")
 
 
 def to_base32(c: Column, alphabet: str = BASE32) -> Column:
-    """Padded text: five bytes at a time become eight characters."""
-    digits, size = F.hex(c), F.octet_length(c)
-
-    def text(i: Column) -> Column:
-        v = F.conv(F.rpad(F.substring(digits, i * 10 + 1, F.lit(10)), 10, "0"), 16, 10).cast("long")
-        return F.concat(*[F.substring(F.lit(alphabet), (F.shiftright(v, at).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for at in range(35, -1, -5)])
-
-    whole = F.array_join(F.transform(_groups(size, 5), text), "")
-    used = F.ceil(size * 8 / 5).cast("int")
-    return F.concat(F.left(whole, used), F.repeat(F.lit("="), F.char_length(whole) - used))
+    """Padded text: 60 bits at a time, 15 hexadecimal digits, become twelve characters."""
+    size, whole = F.octet_length(c), _rebase(F.hex(c), 15, 16, 12, 32)
+    whole = whole if alphabet == BASE32HEX else F.translate(whole, BASE32HEX, alphabet)
+    return F.rpad(F.left(whole, F.ceil(size * 8 / 5).cast("int")), F.ceil(size / 5).cast("int") * 8, F.lit("="))
 
 
 def from_base32(c: Column, alphabet: str = BASE32) -> Column:
     """Null unless the text is upper case and padded; bits beyond the last byte are ignored."""
     one = f"[{alphabet}]"
     shape = rf"\A(?:{one}{{8}})*(?:{one}{{2}}={{6}}|{one}{{4}}={{4}}|{one}{{5}}={{3}}|{one}{{7}}=)?\z"
-    size = F.char_length(F.regexp_replace(c, "=+\\z", ""))
-
-    def digits(i: Column) -> Column:
-        v = F.lit(0).cast("long")
-        for k in range(8):  # padding counts as zero
-            place = F.greatest(F.position(F.substring(c, i * 8 + k + 1, F.lit(1)), F.lit(alphabet)) - 1, F.lit(0))
-            v = v + F.shiftleft(place.cast("long"), 35 - 5 * k)
-        return F.lpad(F.hex(v), 10, "0")
-
-    whole = F.array_join(F.transform(_groups(F.char_length(c), 8), digits), "")
-    return F.when(F.rlike(c, F.lit(shape)), F.unhex(F.left(whole, F.floor(size * 5 / 8).cast("int") * 2)))
+    body = F.rtrim(c, F.lit("="))
+    whole = _rebase(body if alphabet == BASE32HEX else F.translate(body, alphabet, BASE32HEX), 12, 32, 15, 16)
+    return F.when(F.rlike(c, F.lit(shape)), F.unhex(F.left(whole, F.floor(F.char_length(body) * 5 / 8).cast("int") * 2)))
 
 
 _RFC3339 = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]+)?(?:Z|[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])\z"

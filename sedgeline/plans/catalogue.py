@@ -196,8 +196,8 @@ def _base32_sql(alphabet: str) -> str:
 @query(f"SELECT c_custkey, {_base32_sql(formats.BASE32)} AS b32, {_base32_sql(formats.BASE32HEX)} AS b32hex, c_name AS back FROM customer")
 def fmt_base32(spark, d):
     raw = F.col("c_name").cast("binary")
-    text = formats.to_base32(raw)
-    return table(spark, d, "customer").select("c_custkey", text.alias("b32"), formats.to_base32(raw, formats.BASE32HEX).alias("b32hex"), formats.from_base32(text).cast("string").alias("back"))
+    texts = table(spark, d, "customer").select("c_custkey", formats.to_base32(raw).alias("b32"), formats.to_base32(raw, formats.BASE32HEX).alias("b32hex"))
+    return texts.select("*", formats.from_base32(F.col("b32")).cast("string").alias("back"))
 
 
 @query("SELECT c_custkey, c_name AS back, CASE WHEN strlen(c_name) = 18 THEN c_name END AS fixed FROM customer")
